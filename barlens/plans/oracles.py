@@ -85,7 +85,7 @@ PARTS = {
     "sg": "SELECT symbol, sign(sv) AS x, row_number() OVER (PARTITION BY symbol ORDER BY ts, id) - 1 AS i FROM es WHERE sv <> 0",
     "ss0": "SELECT symbol, avg(x) AS mu, var_pop(x) AS v, count(*) AS n FROM sg GROUP BY 1",
     "sa": """SELECT a.symbol, lag, CASE WHEN max(n) >= 62 AND max(v) >= 1e-15 THEN avg((a.x - mu) * (c.x - mu)) / max(v) ELSE 0 END AS acf FROM sg a JOIN ss0 USING (symbol), lg
-      JOIN sg c ON c.symbol = a.symbol AND c.i = a.i + lag GROUP BY 1, 2 UNION ALL SELECT symbol, 0, CASE WHEN n >= 62 AND v >= 1e-15 THEN 1 ELSE 0 END FROM ss0""",
+      JOIN sg c ON c.symbol = a.symbol AND c.i = a.i + lag GROUP BY 1, 2 UNION ALL SELECT symbol, 0, CASE WHEN n >= 62 AND v >= 1e-15 THEN 1 ELSE 0 END FROM ss0 UNION ALL SELECT symbol, lag, 0 FROM ss0, lg WHERE lag >= n""",
     # Detrended fluctuation of each trade's flow.
     "d0": "SELECT symbol, ts, id, sv - avg(sv) OVER (PARTITION BY symbol) AS c, count(*) OVER (PARTITION BY symbol) AS n FROM es",
     "d1": "SELECT symbol, n, row_number() OVER w - 1 AS i, sum(c) OVER w AS y FROM d0 WINDOW w AS (PARTITION BY symbol ORDER BY ts, id)",
