@@ -34,6 +34,9 @@ CHUNK = 128
 #: Documents for one task of the first count, and runs that it holds at once.
 COUNT_ROWS, COUNT_RUNS = 8000, 1 << 25
 
+#: Edges that one task joins, and the logarithm of the most bits of the sieve that is sent out (32 MB).
+EDGES, SIEVE = 200_000, 28
+
 _TABLE = 1 << 16
 _STEPS, _LOWEST, _CLASSES = 8, -4, 40
 
@@ -226,6 +229,32 @@ def components(edges: DataFrame) -> DataFrame:
         left = joined.select("a", F.col("m").alias("b")).union(joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct()
 
 
+def _sieve(nodes: DataFrame) -> np.ndarray:
+    """One bit for each of the nodes' leading bits: at least 16 bits a node, up to 2 ** SIEVE bits in all."""
+    bits = min(SIEVE, max(20, (16 * nodes.count()).bit_length()))
+    lead = F.conv(F.substring(F.hex("node"), 1, 8), 16, 10).cast("bigint")
+    words = nodes.select(F.shiftright(lead, 32 - bits).alias("place")).selectExpr("shiftright(place, 5) AS word", "shiftleft(1L, CAST(place & 31 AS int)) AS bit")
+    found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+    out = np.zeros(1 << (bits - 5), np.uint32)
+    out[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
+    return out
+
+
+def texts_of(texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, text) of the distinct texts of `nodes`. A bit sieve drops most other rows before texts are shuffled."""
+    sent = texts.sparkSession.sparkContext.broadcast(_sieve(nodes))
+
+    def passing(batches):
+        sieve = sent.value
+        shift = np.uint32(32 - (len(sieve).bit_length() + 4))
+        for batch in batches:
+            place = np.frombuffer(b"".join([x[:4] for x in batch.column("node").to_pylist()]), ">u4").astype(np.uint32) >> shift
+            yield batch.filter(pa.array((sieve[place >> np.uint32(5)] >> (place & np.uint32(31)) & np.uint32(1)).astype(bool)))
+
+    rows = texts.withColumn("node", node()).select("node", "text").mapInArrow(passing, "node binary, text string")
+    return rows.join(nodes.hint("merge"), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+
+
 def node(text_col: str = "text"):
     """A text's node; null for a null text."""
     return F.unhex(F.md5(F.col(text_col).cast("string").cast("binary")))
@@ -252,9 +281,7 @@ def links(df: DataFrame, text_col: str = "text") -> DataFrame:
     # Buckets of the same members count once.
     found = keep(found.groupBy("n", "leader", "print").agg(F.min("bucket").alias("bucket")).select("bucket", "n", "leader"), "buckets")
     members = keep(banded.join(found, "bucket"), "members")
-    near = members.select("node").distinct()
-    shown = texts.withColumn("node", node()).join(near, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
-    shown = keep(shown, "texts")
+    shown = keep(texts_of(texts, keep(members.select("node").distinct(), "near")), "texts")
 
     def compare(batches):
         last, own = None, None
@@ -272,7 +299,7 @@ def links(df: DataFrame, text_col: str = "text") -> DataFrame:
     def verified(pairs: DataFrame) -> DataFrame:
         right = shown.select(F.col("node").alias("b"), F.col("text").alias("right"))
         left = shown.select(F.col("node").alias("a"), F.col("text").alias("left"))
-        full = pairs.join(right, "b").join(left, "a").select("a", "b", "left", "right")
+        full = pairs.join(right.hint("merge"), "b").join(left.hint("merge"), "a").select("a", "b", "left", "right")
         return full.mapInArrow(compare, "a binary, b binary")
 
     stars = members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
@@ -291,7 +318,7 @@ def links(df: DataFrame, text_col: str = "text") -> DataFrame:
         probes = loose.where("label <> most").withColumn("i", own("others", 1)).withColumn("j", every("n")).withColumn("probe", F.lit(True))
         targets = loose.withColumn("j", own("n", 2)).withColumn("i", every("others")).withColumn("probe", F.lit(False))
         cols = ("bucket", "i", "j", "probe", "node", "label")
-        both = probes.select(*cols).unionByName(targets.select(*cols)).join(shown, "node")
+        both = probes.select(*cols).unionByName(targets.select(*cols)).join(shown.hint("merge"), "node")
 
         def settle(pdf: pd.DataFrame) -> pd.DataFrame:
             sets = _sets(pdf["text"].tolist(), weights.value)
