@@ -215,18 +215,21 @@ def _forest(pdfs):
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): the least node of each component, for every node of the edges (a, b), label itself included.
 
-    Every task joins what its own edges link; nodes that got several labels link those; until none has.
+    Every task joins what its own edges link, EDGES of them or so; nodes that got several labels link those, and
+    labels that another task labels are passed on, until neither is left. One task's edges are done at once.
     """
     left = edges.select("a", "b")
     while True:
-        forest = keep(left.mapInPandas(_forest, "a binary, b binary"), "forest")
+        tasks = -(-left.count() // EDGES)
+        forest = keep(left.coalesce(max(1, tasks)).mapInPandas(_forest, "a binary, b binary"), "forest")
+        if tasks <= 1:
+            return forest.select(F.col("a").alias("node"), F.col("b").alias("label"))
         least = forest.groupBy("a").agg(F.min("b").alias("m"))
         joined = keep(forest.join(least, "a"), "least")
-        # Done where each node has one label and every label labels itself.
-        open_ = joined.where("b <> m").select("b", "m").union(joined.where("a <> m").join(joined.where("a <> m").select(F.col("a").alias("x")), F.col("m") == F.col("x"), "left_semi").select("b", "m"))
-        if open_.isEmpty():
-            return joined.select(F.col("a").alias("node"), F.col("m").alias("label")).distinct()
-        left = joined.select("a", F.col("m").alias("b")).union(joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct()
+        named = joined.where("a <> m").select(F.col("a").alias("m"))
+        if joined.where("b <> m").isEmpty() and joined.where("a <> m").join(named, "m", "left_semi").isEmpty():
+            return joined.select(F.col("a").alias("node"), F.col("m").alias("label"))
+        left = keep(joined.select("a", F.col("m").alias("b")).union(joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct(), "left")
 
 
 def _sieve(nodes: DataFrame) -> np.ndarray:
