@@ -30,8 +30,9 @@ def carried(x: str | Column, order: str = "ts") -> Column:
 
 
 def zscore(x: str | Column) -> Column:
-    """Across symbols: (x - mean) / population deviation; NULL where that is 0."""
-    return ratio(col(x) - F.avg(col(x)).over(across()), F.stddev_pop(col(x)).over(across()))
+    """Across symbols: (x - mean) / population deviation; NULL where that is 0, or no more than the mean's rounding."""
+    mean, std = F.avg(col(x)).over(across()), F.stddev_pop(col(x)).over(across())
+    return (col(x) - mean) / F.when(std > F.abs(mean) * 1e-12, std)
 
 
 def mean_rank(x: str | Column, *by: str) -> Column:

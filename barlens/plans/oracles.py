@@ -136,7 +136,8 @@ def _r(*pairs: str) -> str:
 
 
 def _z(x: str) -> str:
-    return f"({x} - avg({x}) OVER (PARTITION BY ts)) / nullif(stddev_pop({x}) OVER (PARTITION BY ts), 0)"
+    mean, std = f"avg({x}) OVER (PARTITION BY ts)", f"stddev_pop({x}) OVER (PARTITION BY ts)"
+    return f"({x} - {mean}) / CASE WHEN {std} > abs({mean}) * 1e-12 THEN {std} END"
 
 
 def _pct(x: str) -> str:
