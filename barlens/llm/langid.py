@@ -26,7 +26,7 @@ SAMPLES, SAMPLE_CHARS, LANGUAGES, DICT_BYTES = 1000, 300, 64, 112_000
 #: Compressed bytes that are worth one step of the score, and the chunk of a text that is compressed at once.
 SCALE, CHUNK = 6.0, 4096
 #: Rejected: a text whose best and second-best outputs differ by no more than this share of the second.
-MARGIN = 0.008
+MARGIN = 0.004
 UNKNOWN = "und"
 
 #: Invented and inflected words share short runs of letters: matches of three bytes count.

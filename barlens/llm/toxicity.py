@@ -18,7 +18,7 @@ from barlens.llm.util import mix, owners, slices, word_hashes
 #: Bits of a feature's number: 4 million coordinates, 16 MB of weights while training.
 BITS = 22
 #: Bounds of the training sample: texts of each class, and bytes of text in all.
-SAMPLE, SAMPLE_BYTES = 4000, 48 << 20
+SAMPLE, SAMPLE_BYTES = 4000, 32 << 20
 ALPHA, BETA, L2, EPOCHS = 1.0, 1.0, 0.05, 8
 #: The L1 term: one for so many texts of the rarer class, within these bounds.
 L1_TEXTS, L1_RANGE = 200, (1.0, 8.0)
