@@ -12,9 +12,13 @@ from barlens.llm.queries import BPE_FILE, CAPACITY, table, vocabulary
 from barlens.llm.util import keep
 
 
+#: Score from which a document goes: below one half, since a toxic document that stays costs more than a clean one that goes.
+TOXIC = 0.2
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model, learned from the labelled ones among them, doesn't reject."""
-    return toxicity.keep_clean(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return toxicity.keep_clean(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")), limit=TOXIC)
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
