@@ -189,19 +189,27 @@ def _checked_bits(h: Header) -> int | None:
 
 
 def parse(data: bytes) -> Stream:
-    """Read a whole stream. Bytes that belong to no frame are skipped up to the next credible header."""
+    """Read a whole stream. Bytes that belong to no frame are skipped up to the next credible header.
+
+    What looks like a trailing tag is one only where no frame covers it.
+    """
     out = Stream()
-    end = _tail(data, out.tags)
+    end, closing = len(data), {}
+    tail = _tail(data, closing)
     pos = _id3v2(data, 0, out.tags)
     while pos + 4 <= end:
         h = header(data[pos : pos + 4])
         after = pos + h.size if h else 0
         near = header(data[after : after + 4]) if h and after + 4 <= end else None
-        sound = h is not None and (out.first is None or h.like(out.first)) and (near.like(h) if near else after >= end - 3 or (out.first is not None and data[after : after + 3] in (b"ID3", b"TAG")))
+        sound = h is not None and (out.first is None or h.like(out.first)) and (near.like(h) if near else after >= end - 3 or after == tail)
+        if not sound and pos == tail:
+            out.tags = closing | out.tags
+            break
         if not sound:
             # Not where it should be: the next byte that can begin a header.
-            to = data.find(b"\xff", pos + 1, end)
-            to = end if to < 0 else to
+            limit = tail if pos < tail else end
+            to = data.find(b"\xff", pos + 1, limit)
+            to = limit if to < 0 else to
             out.skipped += to - pos
             pos = to
             continue

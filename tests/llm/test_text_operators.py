@@ -135,6 +135,9 @@ def test_media_damage():
     assert media.parse(tail).truncated > 0 or media.parse(tail).skipped > 0
     tagged = m + b"TAG" + b"Title".ljust(30, b"\0") + bytes(95)
     assert media.parse(tagged).tags["v1:title"] == "Title" and len(media.parse(tagged).offsets) == len(s.offsets)
+    for fake in (b"TAG".ljust(128, b"x"), b"APETAGEX".rjust(64, b"y").ljust(88, b"\1")):  # a payload that ends like a tag
+        payload = fake.rjust(1344, b"z")
+        assert media.load(media.store(payload))[0] == payload
     assert media.parse(b"").offsets == [] and media.header(b"\xff\xff\xff\xff") is None
     layer1 = media.header(bytes([0xFF, 0xFF, 0x10, 0x00]))
     assert (layer1.layer, layer1.size, layer1.samples) == (1, 32 * 12000 // 44100 * 4, 384)
