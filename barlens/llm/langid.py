@@ -25,6 +25,8 @@ from barlens.llm.util import slices
 SAMPLES, SAMPLE_CHARS, LANGUAGES, DICT_BYTES = 1000, 300, 64, 112_000
 #: Compressed bytes that are worth one step of the score, and the chunk of a text that is compressed at once.
 SCALE, CHUNK = 6.0, 4096
+#: What each chunk begins with: a run that compresses, or else the compressor would store a short text as it is.
+LEAD = bytes(64)
 #: Rejected: a text whose best and second-best outputs differ by no more than this share of the second.
 MARGIN = 0.004
 UNKNOWN = "und"
@@ -95,7 +97,7 @@ def _compressors(model: Model) -> list:
 def sizes(model: Model, text: str) -> list[int]:
     """Bytes that the text takes with each language's dictionary."""
     raw = words(text)
-    chunks = [raw[lo : lo + CHUNK] for lo in range(0, len(raw), CHUNK)]
+    chunks = [LEAD + raw[lo : lo + CHUNK] for lo in range(0, len(raw), CHUNK)]
     return [sum([len(c.compress(x)) for x in chunks]) for c in _compressors(model)]
 
 
