@@ -29,19 +29,18 @@ def book_panel(quotes: DataFrame, freq: str = "15min", normalize: str | None = "
     return normalized(p, BOOK_FEATURES, normalize).select("symbol", "ts", *BOOK_FEATURES, "mid_close")
 
 
-def split_time(panel: DataFrame, share: float):
-    """The last bar of training: the one at place int(n x share) of all bars; needs 10 bars."""
+def split_time(panel: DataFrame, share: float, embargo: int = 0):
+    """The last bar of training: `embargo` bars before the one at place int(n x share) of all bars; needs 10 bars."""
     times = [r["ts"] for r in panel.select("ts").distinct().orderBy("ts").collect()]
     if len(times) < 10:
         raise ValueError("at least 10 bars are needed")
-    return times[min(int(len(times) * share), len(times) - 1)]
+    return times[max(0, min(int(len(times) * share), len(times) - 1) - embargo)]
 
 
 def scored(panel: DataFrame, features: list[str], train_share: float = 0.6, seed: int = 7, embargo: int = 0) -> tuple[DataFrame, object]:
-    """The panel with a forest's score, and the last training bar."""
-    end = split_time(panel, train_share)
-    model = latent.fit_forest(panel.where(F.col("ts") <= F.lit(end)), features, seed)
-    return model.transform(panel), end
+    """The panel with a forest's score, and the bar after which rows are out of sample; training may end earlier."""
+    model = latent.fit_forest(panel.where(F.col("ts") <= F.lit(split_time(panel, train_share, embargo))), features, seed)
+    return model.transform(panel), split_time(panel, train_share)
 
 
 def diagnosed(panel: DataFrame, train_end, n: int = 6) -> dict[str, DataFrame]:
