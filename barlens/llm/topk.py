@@ -87,7 +87,7 @@ def top_k(df: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id",
 
     Rows with a null id or a vector that is null or holds null or non-finite components take no part; vectors
     of other lengths than the query's are not compared. Rows that repeat an id are candidates of their own, but
-    none of their own id's queries; a repeated query's row is answered once. Fewer candidates than k: all. An
+    none of their own id's queries; a repeated query is answered once, with its least vector. Fewer candidates than k: all. An
     empty table gives no rows. Products beyond 64 bits wrap.
 
     All queries meet all candidates in blocks: each block of queries is dealt to every block of candidates and
@@ -105,7 +105,7 @@ def top_k(df: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id",
     def every(blocks: int) -> Column:
         return F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
 
-    asked = rows.where("q").dropDuplicates(["id"]).select("id", "v", number(q_blocks).alias("qb"), every(x_blocks).alias("xb"))
+    asked = rows.where("q").groupBy("id").agg(F.min("v").alias("v")).select("id", "v", number(q_blocks).alias("qb"), every(x_blocks).alias("xb"))
     there = rows.select("id", "v", number(x_blocks).alias("xb"), every(q_blocks).alias("qb"))
 
     def block(queries: pd.DataFrame, vectors: pd.DataFrame) -> pd.DataFrame:

@@ -53,23 +53,44 @@ def _power(kind: str, n: int) -> np.ndarray:
     return _powers[kind]
 
 
-def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the lower-cased words of all texts in order, and for each text the place after its last word.
-
-    A word is a run of ASCII letters, digits and non-ASCII characters; a null has none.
-    """
-    parts = [(t or "").lower().encode("utf-8", "replace") for t in texts]
+def _hashes(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     ends_at = np.cumsum([len(p) + 1 for p in parts], dtype=np.int64)
     buf = np.frombuffer(b"\n" + b"\n".join(parts) + b"\n", np.uint8)
     edge = np.flatnonzero(np.diff(_WORD[buf].view(np.int8)))
     starts, ends = edge[0::2], edge[1::2]
     if not len(starts):
-        return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
+        return np.zeros(0, np.uint64), np.zeros(len(parts), np.int64)
     run = np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * _power("up", len(buf))[: len(buf)])
     h = mix((run[ends] - run[starts]) * _power("down", len(buf))[starts] + np.uint64(len("w")))
     return h, np.searchsorted(starts, ends_at, side="left")
 
 
+def _cut(part: bytes) -> list[bytes]:
+    """A long text in pieces of about SLICE_BYTES that end at a space or line end."""
+    out = []
+    while len(part) > 2 * SLICE_BYTES:
+        at = max(part.rfind(b" ", 0, SLICE_BYTES), part.rfind(b"\n", 0, SLICE_BYTES))
+        if at <= 0:
+            break
+        out.append(part[:at])
+        part = part[at:]
+    return [*out, part]
+
+
+def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the lower-cased words of all texts in order, and for each text the place after its last word.
+
+    A word is a run of ASCII letters, digits and non-ASCII characters; a null has none.
+    """
+    parts = [(t or "").lower().encode("utf-8", "replace") for t in texts]
+    if sum(map(len, parts)) <= 2 * SLICE_BYTES:
+        return _hashes(parts)
+    pieces = [_cut(p) for p in parts]
+    found = [_hashes([x])[0] for p in pieces for x in p]
+    sizes = iter([len(h) for h in found])
+    return np.concatenate(found), np.cumsum([sum(next(sizes) for _ in p) for p in pieces], dtype=np.int64)
+
+
 def owners(stops: np.ndarray) -> np.ndarray:
     """For each word the text that it is from."""
     return np.repeat(np.arange(len(stops)), np.diff(stops, prepend=0))

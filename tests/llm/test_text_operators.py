@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from barlens.llm import bpe, langid, media, neardup, packing, queries, sharding, topk, toxicity, urlfilter, wordpiece
+from barlens.llm import bpe, langid, media, neardup, packing, queries, sharding, topk, toxicity, urlfilter, util, wordpiece
 
 DIR = "/root/testdata/sf0.001"
 BPE, PIECES = queries.vocabulary(queries.BPE_FILE), queries.vocabulary(queries.PIECE_FILE)
@@ -86,6 +86,14 @@ def test_word_pieces_equal_library(odd):
     assert wordpiece.token_counts(odd.limit(0), PIECES).count() == 0
 
 
+def test_word_hashes_of_long_texts(monkeypatch):
+    texts = ["one two  three\nfour " * 50, None, "", "x" * 900, "five, six é"]
+    whole = util.word_hashes(texts)
+    monkeypatch.setattr(util, "SLICE_BYTES", 64)
+    h, stops = util.word_hashes(texts)
+    assert (h == whole[0]).all() and (stops == whole[1]).all() and stops.tolist() == [200, 200, 200, 201, 204]
+
+
 def test_longest_match_against_brute_force():
     rng = random.Random(6)
     for _ in range(60):
