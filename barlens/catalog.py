@@ -288,8 +288,7 @@ def noarb_audit(spark, d):
 def pit_universe(spark, d):
     from barlens.sources import archive
 
-    files = fx.event_trades(spark, d).where("symbol < 5 AND quantity > 95").select("symbol", F.col("ts").cast("date").alias("date"))
-    return archive.universe(files)
+    return archive.universe(fx.item_trades(spark, d).select("symbol", F.col("ts").cast("date").alias("date")))
 
 
 @query

@@ -221,7 +221,7 @@ ORACLES: dict[str, str] = {
       (SELECT model, 20 * max(CASE WHEN t = 20 THEN price END) - sum(CASE WHEN t < 20 THEN price ELSE 0 END) AS p, avg(CASE WHEN t < 20 THEN price END) AS b, max(CASE WHEN t = 20 THEN price END) AS s
        FROM (SELECT model, t, coalesce(sum(CASE model WHEN 'permanent' THEN 1 WHEN 'slow_decay' THEN exp(-k * ln(2) / 5) ELSE CASE WHEN k = 0 THEN 1 ELSE 0 END END) FILTER (k < t), 0) AS price
          FROM (SELECT unnest(['permanent', 'slow_decay', 'purely_temporary']) AS model), (SELECT unnest(range(0, 21)) AS t), (SELECT unnest(range(0, 20)) AS k) GROUP BY 1, 2) GROUP BY 1)"""),
-    "pit_universe": """WITH f AS (SELECT DISTINCT user_id % 20 AS symbol, CAST(ts AS DATE) AS date FROM events WHERE user_id % 20 < 5 AND CAST(regexp_extract(props, '[0-9]+', 0) AS DOUBLE) > 95)
+    "pit_universe": """WITH f AS (SELECT DISTINCT s_nationkey AS symbol, CAST(l_shipdate AS DATE) AS date FROM lineitem JOIN supplier ON l_suppkey = s_suppkey)
       SELECT d.date, s.symbol, f.date IS NOT NULL AS listed FROM (SELECT CAST(unnest(generate_series(min(date), max(date), INTERVAL 1 day)) AS DATE) AS date FROM f) d CROSS JOIN (SELECT DISTINCT symbol FROM f) s
       LEFT JOIN f ON f.date = d.date AND f.symbol = s.symbol""",
 }
