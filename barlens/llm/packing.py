@@ -20,7 +20,7 @@ from barlens.llm import bpe
 from barlens.llm.util import keep, slices
 
 #: Parts into which each length's ranks are split at most, and pieces that one part is meant to hold.
-MAX_PARTS, PART_ROWS = 512, 50_000
+MAX_PARTS, PART_ROWS = 512, 5_000
 
 
 def plan(counts: dict[int, int], capacity: int) -> dict[str, np.ndarray]:
