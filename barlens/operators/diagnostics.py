@@ -17,11 +17,16 @@ def forward_return(panel: DataFrame, n: int = 6) -> DataFrame:
 
 
 def information_coefficient(panel: DataFrame, rolling: int = 0) -> DataFrame:
-    """(ts, ic) for every bar: rank correlation of score and fwd where both are there; NULL where either is constant."""
+    """(ts, ic) for every bar: rank correlation of score and fwd where both are there; NULL where either is constant.
+
+    Ranks are halves of whole numbers, so that their sums are exact: a correlation of 0 is 0 in any order of rows.
+    """
     both = panel.where("score IS NOT NULL AND fwd IS NOT NULL")
     ranked = both.select("ts", mean_rank("score", "ts").alias("a"), mean_rank("fwd", "ts").alias("b"))
-    spread = F.stddev_pop("a") * F.stddev_pop("b")
-    found = ranked.groupBy("ts").agg(F.when(spread > 0, F.covar_pop("a", "b") / spread).alias("ic"))
+    n = F.count(F.lit(1)).cast("double")
+    even = n * (n + 1) * (n + 1) / 4
+    cov, va, vb = (F.sum(F.col(x) * F.col(y)) - even for x, y in (("a", "b"), ("a", "a"), ("b", "b")))
+    found = ranked.groupBy("ts").agg(F.when((va > 0) & (vb > 0), cov / F.sqrt(va) / F.sqrt(vb)).alias("ic"))
     out = panel.select("ts").distinct().join(found, "ts", "left")
     return out.withColumn("ic", F.avg("ic").over(Window.orderBy("ts").rowsBetween(-(rolling - 1), 0))) if rolling > 1 else out
 

@@ -234,6 +234,14 @@ def test_lagged_sums_over_blocks(spark):
         assert got[lag]["sxy"] == pytest.approx(float(x[:-lag] @ x[lag:]))
 
 
+def test_rank_correlation_of_zero_is_no_hit(spark):
+    order = [(1.0, 2.0), (2.0, 4.0), (3.0, 1.0), (4.0, 3.0)]
+    rows = [(T0 + dt.timedelta(days=d), s, f + d) for d in range(40) for s, f in order]
+    p = spark.createDataFrame(rows, "ts timestamp_ntz, score double, fwd double").repartition(7)
+    r = diagnostics.ic_summary(diagnostics.information_coefficient(p)).first()
+    assert (r["ic_mean"], r["ic_std"], r["ic_ir"], r["ic_hit_rate"], r["n_obs"]) == (0, 0, None, 0, 40)
+
+
 def test_memory_micro(spark):
     s = panel(spark, [("a", i, float((-1) ** i)) for i in range(4)], "symbol string, idx long, x double")
     assert values(memory.autocorrelation(s, "x", 2), "acf", "lag") == pytest.approx([1, -1, 1])
