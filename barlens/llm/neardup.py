@@ -5,8 +5,9 @@ sampling gives it SAMPLES minima; BANDS of them make buckets. Documents of a buc
 another by exact weighted Jaccard similarity until all that are at or above the threshold are linked, and
 links make classes. Exact copies are one node throughout: the text's 128-bit digest.
 
-IDF falls from 1 for runs in less than one in RARE documents to FLOOR for runs in every document. So only frequent
-runs need counts, and the averages of their lengths, not the number of documents, bound how many there are.
+IDF falls from 1 for runs that are not frequent to FLOOR for runs in every document. So only frequent runs need
+counts: those in one of RARE documents or more and, where texts are long, in as many as 1 / MOST of all words. No
+text has more runs than words, so that at most MOST runs are frequent however large the corpus is.
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ BANDS, ROWS = 20, 4
 SAMPLES = BANDS * ROWS
 #: Share of documents, as one in so many, from which a run counts as frequent; least number; IDF of a run in all.
 RARE, LEAST, FLOOR = 1000, 8, 0.8
-#: Most frequent runs that are sent out (12 bytes each); beyond that the frequent ones begin at a higher count.
-MOST = 1_000_000
+#: Bound of the frequent runs that are sent out (16 bytes each): a run counts as frequent from 1 / MOST of all words on.
+MOST = 2_000_000
 #: Documents of a bucket that are compared in one task, a side.
 CHUNK = 128
 #: Documents for one task of the first count, and runs that it holds at once.
@@ -67,12 +68,12 @@ def shingles(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarra
 
 
 class Weights:
-    """The IDF of frequent runs (sorted hashes and their counts among `documents`); 1 for all others."""
+    """The IDF of frequent runs (sorted hashes and their counts among `documents`, from `least` on); 1 for all others."""
 
-    def __init__(self, documents: int, hashes: np.ndarray, counts: np.ndarray):
+    def __init__(self, documents: int, hashes: np.ndarray, counts: np.ndarray, least: float | None = None):
         order = np.argsort(hashes)
         self.hashes = hashes[order]
-        least = max(LEAST, documents / RARE)
+        least = least or max(LEAST, documents / RARE)
         share = np.log(np.maximum(documents, 2) / np.maximum(counts[order], 1)) / max(np.log(np.maximum(documents, 2) / least), 1e-9)
         self.idf = FLOOR + (1 - FLOOR) * np.clip(share, 0, 1)
 
@@ -140,14 +141,20 @@ def jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
     return float(both / (total - both)) if total else 0.0
 
 
-def frequent(df: DataFrame, documents: int) -> Weights:
-    """Exact document counts of all runs in at least max(LEAST, documents / RARE) rows of `df` (text).
+def totals(df: DataFrame) -> tuple[int, int]:
+    """Rows of `df` (text), and a bound of the words in them: a word takes a byte and another one apart from the next."""
+    r = df.agg(F.count("text").alias("n"), F.sum((F.octet_length("text") + 1) / 2).alias("w")).first()
+    return r["n"], int(r["w"] or 0)
+
+
+def frequent(df: DataFrame, documents: int, words: int | None = None) -> Weights:
+    """Exact document counts of all frequent runs: in at least max(LEAST, documents / RARE, words / MOST) rows of `df` (text).
 
     Each task of the first pass passes on what is frequent among its own rows: a run with half the needed count
     or more in all tasks together is a candidate, and no frequent run can be missed. The second pass counts the
-    candidates, of which there are at most 2 x RARE x runs per document.
+    candidates. Candidates are at most 2 x MOST and frequent runs at most MOST, as their counts sum to words at most.
     """
-    need = max(LEAST, documents / RARE)
+    need = max(LEAST, documents / RARE, (totals(df)[1] if words is None else words) / MOST)
 
     def rows(runs: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(runs.view(np.int64)), pa.array(counts.astype(np.int64))], ["run", "n"])
@@ -170,14 +177,14 @@ def frequent(df: DataFrame, documents: int) -> Weights:
         if held:
             yield flush()
 
-    def collected(batches_of, source: DataFrame, least: float) -> pd.DataFrame:
+    def collected(batches_of, source: DataFrame, least: float) -> pa.Table:
         found = source.mapInArrow(batches_of, "run bigint, n bigint").groupBy("run").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-        return found.orderBy(F.desc("n"), "run").limit(MOST).toPandas()
+        return found.toArrow()
 
     tasks = max(1, -(-documents // COUNT_ROWS))
-    likely = np.sort(collected(local, df.coalesce(tasks), need / 2)["run"].to_numpy(np.int64).view(np.uint64))
+    likely = np.sort(collected(local, df.coalesce(tasks), need / 2)["run"].to_numpy().astype(np.int64).view(np.uint64))
     if not len(likely):
-        return Weights(documents, np.zeros(0, np.uint64), np.zeros(0))
+        return Weights(documents, np.zeros(0, np.uint64), np.zeros(0), need)
     sent = df.sparkSession.sparkContext.broadcast(likely)
 
     def exact(batches):
@@ -191,7 +198,7 @@ def frequent(df: DataFrame, documents: int) -> Weights:
         yield rows(likely[count > 0], count[count > 0])
 
     found = collected(exact, df.coalesce(tasks), need)
-    return Weights(documents, found["run"].to_numpy(np.int64).view(np.uint64), found["n"].to_numpy(np.float64))
+    return Weights(documents, found["run"].to_numpy().astype(np.int64).view(np.uint64), found["n"].to_numpy().astype(np.float64), need)
 
 
 def _forest(pdfs):
@@ -267,8 +274,8 @@ def links(df: DataFrame, text_col: str = "text") -> DataFrame:
     """(node, label) of all distinct texts that are near another one; label: the least node of the class."""
     spark = df.sparkSession
     texts = df.select(F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL")
-    documents = texts.count()
-    weights = spark.sparkContext.broadcast(frequent(texts, documents))
+    documents, words = totals(texts)
+    weights = spark.sparkContext.broadcast(frequent(texts, documents, words))
 
     def sketch(batches):
         for batch in batches:

@@ -218,6 +218,20 @@ def test_frequent_runs_equal_brute_force(spark, docs, monkeypatch):
     assert sorted(w.hashes.tolist()) == sorted(h for h, c in count.items() if c >= 4)
 
 
+def test_frequent_runs_of_long_texts_are_bounded(spark, docs, monkeypatch):
+    monkeypatch.setattr(neardup, "LEAST", 1)
+    texts = [r["text"] for r in docs.collect()] * 2
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(5)
+    words = neardup.totals(df)[1]
+    most = words // 4
+    monkeypatch.setattr(neardup, "MOST", most)
+    assert words >= sum(len((t or "").split()) for t in texts)
+    count = Counter(h for t in texts for h in neardup.shingles([t])[1].tolist())
+    w = neardup.frequent(df, len(texts))
+    assert sorted(w.hashes.tolist()) == sorted(h for h, c in count.items() if c >= words / most)
+    assert 0 < len(w.hashes) <= most and ((w.idf >= neardup.FLOOR) & (w.idf <= 1)).all()
+
+
 def test_weighted_sampling_estimates_similarity():
     rng = random.Random(9)
     words = ["w%d" % i for i in range(600)]
