@@ -32,6 +32,8 @@ RARE, LEAST, FLOOR = 1000, 8, 0.8
 MOST = 2_000_000
 #: Documents of a bucket that are compared in one task, a side.
 CHUNK = 128
+#: A class of one row in so many is large.
+HOT = 1000
 #: Documents for one task of the first count, and runs that it holds at once.
 COUNT_ROWS, COUNT_RUNS = 8000, 1 << 25
 
@@ -319,7 +321,7 @@ def links(df: DataFrame, text_col: str = "text") -> DataFrame:
     named = keep(members.where("n > 2").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).select("bucket", "node", "label"), "named")
     sizes = named.groupBy("bucket", "label").agg(F.count("*").alias("c"))
     open_ = sizes.groupBy("bucket").agg(F.max(F.struct("c", "label")).alias("most"), F.sum("c").alias("n"), F.count("*").alias("labels")).where("labels > 1")
-    open_ = open_.select("bucket", F.col("most.label").alias("most"), F.col("n"), (F.col("n") - F.col("most.c")).alias("others"))
+    open_ = keep(open_.select("bucket", F.col("most.label").alias("most"), F.col("n"), (F.col("n") - F.col("most.c")).alias("others")), "open")
     loose = keep(named.join(open_, "bucket"), "loose")
     if not loose.isEmpty():
         part = lambda n: F.ceil(F.col(n) / CHUNK).cast("int")
@@ -370,11 +372,19 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     null. Columns other than the two named are not read; an empty table gives no rows.
     """
     labels = links(df, text_col)
-    rows = df.select(F.col(id_col).alias("doc_id"), node(text_col).alias("node")).join(labels, "node", "left")
-    rows = keep(rows.select("doc_id", F.coalesce("label", "node").alias("label")), "rows")
+    rows = df.select(F.col(id_col).alias("doc_id"), node(text_col).alias("own"))
+    # Null texts are dealt by their ids, of 8 bytes: no node is as short.
+    rows = rows.withColumn("node", F.coalesce("own", F.unhex(F.lpad(F.hex(F.xxhash64("doc_id")), 16, "0")))).join(labels, "node", "left")
+    rows = keep(rows.select("doc_id", F.coalesce("label", "own").alias("label")), "rows")
     sizes = rows.where("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
-    joined = rows.join(sizes, "label", "left")
-    return joined.select("doc_id", F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1).cast("bigint")).alias("class_size"))
+    sizes = keep(sizes, "sizes")
+    # At most HOT classes hold one row in HOT: they are sent out, so that no task gets all rows of a large one.
+    hot = F.broadcast(sizes.where(F.col("class_size") * HOT >= rows.count()))
+    cols = ("doc_id", "class_id", "class_size")
+    large = rows.join(hot, "label").select(*cols)
+    others = rows.where("label IS NOT NULL").join(hot.select("label"), "label", "left_anti").join(sizes, "label").select(*cols)
+    alone = rows.where("label IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("bigint").alias("class_size"))
+    return large.unionByName(others).unionByName(alone)
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -383,7 +393,9 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     Rows with a null text stay. Of rows that repeat id and text one stays.
     """
     labels = links(df, text_col)
-    rows = df.select(F.col(id_col).alias("id"), node(text_col).alias("node")).where("node IS NOT NULL").join(labels, "node", "left")
+    # One row for each distinct text before the join: copies of one text meet in no task.
+    rows = df.select(F.col(id_col).alias("id"), node(text_col).alias("node")).where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("id"))
+    rows = rows.join(labels, "node", "left")
     first = rows.groupBy(F.coalesce("label", "node").alias("label")).agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node")).alias("w")).select(F.col("w.node").alias("_node"), F.col("w.id").alias("_id"))
     first = keep(first, "first")
     marked = df.withColumn("_node", node(text_col))
