@@ -116,7 +116,9 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
         limit = F.when(F.col("y") == y, F.lit(SAMPLE / c)).otherwise(limit)
     chosen = marked.where(F.col("h") < limit)
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).dropna().join(F.broadcast(chosen), "id").groupBy("id", "y", "h").agg(F.min("text").alias("text"))
-    size = F.sum(F.octet_length("text")).over(Window.orderBy("h", "id").rowsBetween(Window.unboundedPreceding, 0))
+    # Texts of over a 32nd of the bytes come last: one very long text leaves room for the others.
+    own = F.octet_length("text").cast("bigint")
+    size = F.sum(own).over(Window.orderBy(own > SAMPLE_BYTES // 32, "h", "id").rowsBetween(Window.unboundedPreceding, 0))
     found = rows.withColumn("size", size).where(F.col("size") <= SAMPLE_BYTES).orderBy("h", "id").select("text", "y").collect()
     return train([r["text"] for r in found], [r["y"] for r in found], counts.get(1, 0) / sum(counts.values()))
 
