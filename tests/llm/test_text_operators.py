@@ -278,6 +278,15 @@ def test_near_duplicates_of_odd_rows(spark, odd):
     assert neardup.classes(odd.limit(0)).count() == 0 and neardup.keep_one(odd.limit(0)).count() == 0
 
 
+def test_classes_of_hot_and_other_groups(spark, monkeypatch):
+    texts = spark.createDataFrame([(i, None if i % 4 == 0 else "one two three four five six" if i % 4 == 1 else f"text of number {i // 8} which some share") for i in range(80)], "doc_id long, text string")
+    want = by_id(neardup.classes(texts), "class_id", "class_size")
+    assert want[4] == (4, 1) and want[77] == (1, 20) and len(want) == 80
+    for share in (1, 5):
+        monkeypatch.setattr(neardup, "HOT", share)
+        assert by_id(neardup.classes(texts), "class_id", "class_size") == want
+
+
 def packed_right(rows, capacity):
     seqs = {}
     for r in rows:
@@ -369,6 +378,13 @@ def test_toxicity_of_odd_rows(spark, odd):
     assert by_id(toxicity.score(odd, toxicity.fit(odd, labels.limit(0))), "predicted")[5] == (0,)
 
 
+def test_toxicity_trains_beside_very_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 6400)
+    rows = [(i, "long text " * 700 if i < 20 else "you awful fool" if i % 2 else "kind good day", i % 2) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    assert toxicity.fit(df.select("doc_id", "text"), df.select("doc_id", "toxic")).intercept != toxicity.Model().intercept
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_sql(spark, name):
     c = duckdb.connect()
