@@ -19,6 +19,8 @@ from barlens.sources import fixtures as fx
 FLAGSHIP = "tfi_zscore_weekly"
 #: Parameters of the queries, as in their SQL.
 BETA, VOL, LAGS = 26, 12, 60
+#: Lags of the queries without SQL: of trades' signs, and of bars.
+SIGN_LAGS, BAR_LAGS = 500, 150
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -253,11 +255,31 @@ def flow_acf(spark, d):
     return memory.autocorrelation(memory.bar_series(flow(spark, d)), "flow", LAGS)
 
 
+@query
+def response_function_150(spark, d):
+    return memory.response(memory.bar_series(flow(spark, d)), BAR_LAGS)
+
+
+@query
+def flow_acf_150(spark, d):
+    return memory.autocorrelation(memory.bar_series(flow(spark, d)), "flow", BAR_LAGS)
+
+
 @query
 def sign_acf(spark, d):
     return memory.sign_acf(fx.event_trades(spark, d), LAGS)
 
 
+@query
+def sign_acf_500(spark, d):
+    return memory.sign_acf(fx.event_trades(spark, d), SIGN_LAGS)
+
+
+@query
+def power_law_500(spark, d):
+    return memory.power_law(memory.sign_acf(fx.event_trades(spark, d), SIGN_LAGS))
+
+
 @query
 def power_law(spark, d):
     return memory.power_law(memory.sign_acf(fx.event_trades(spark, d), LAGS), 2)
@@ -273,15 +295,20 @@ def roundtrip_kernels(spark, d):
     return memory.round_trip(memory.response(memory.bar_series(flow(spark, d)), LAGS))
 
 
+@query
+def roundtrip_kernels_150(spark, d):
+    return memory.round_trip(memory.response(memory.bar_series(flow(spark, d)), BAR_LAGS))
+
+
 @query
 def memory_summary(spark, d):
-    s = memory.memory_summary(fx.event_trades(spark, d), flow(spark, d), LAGS)
+    s = memory.memory_summary(fx.event_trades(spark, d), flow(spark, d), SIGN_LAGS)
     return s.select("*", "power_law.*").drop("power_law")
 
 
 @query
 def noarb_audit(spark, d):
-    return memory.audit(memory.bar_series(flow(spark, d)), LAGS)
+    return memory.audit(memory.bar_series(flow(spark, d)), BAR_LAGS)
 
 
 @query

@@ -128,13 +128,13 @@ def response(series: DataFrame, max_lag: int = 150) -> DataFrame:
 
 
 def memory_summary(trades: DataFrame, bars: DataFrame, max_lag: int = 500) -> DataFrame:
-    """One row a symbol: Hurst exponents of trades' flow and bars' returns, sign autocorrelations, the power law."""
+    """One row a symbol: Hurst exponents of trades' flow and bars' returns, sign autocorrelations (NULL behind `max_lag`), the power law."""
     month = F.trunc("ts", "month")
     flow = hurst(trade_series(trades), "flow", _day()).withColumnRenamed("hurst", "hurst_flow")
     b = bars.withColumn("lp", F.when(F.col("close") > 0, F.ln("close"))).select("symbol", "ts", F.lit(0).alias("id"), F.coalesce(F.col("lp") - F.lag("lp").over(along()), F.lit(0.0)).alias("ret"))
     prices = hurst(b, "ret", month).withColumnRenamed("hurst", "hurst_prices")
     acf = sign_acf(trades, max_lag)
-    at = acf.groupBy("symbol").agg(*[F.round(F.max(F.when(F.col("lag") == min(k, max_lag), F.col("acf"))), 4).alias(f"sign_acf_lag{k}") for k in (1, 10, 100)])
+    at = acf.groupBy("symbol").agg(*[F.round(F.max(F.when(F.col("lag") == k, F.col("acf"))), 4).alias(f"sign_acf_lag{k}") for k in (1, 10, 100)])
     law = power_law(acf)
     out = flow.join(prices, "symbol").join(at, "symbol").join(law.select("symbol", F.struct(*law.columns[1:]).alias("power_law")), "symbol")
     said = F.when(F.col("hurst_flow") > F.col("hurst_prices") + 0.1, "long-memory flow, diffusive prices").otherwise("no clear gap")
@@ -142,9 +142,9 @@ def memory_summary(trades: DataFrame, bars: DataFrame, max_lag: int = 500) -> Da
 
 
 def audit(series: DataFrame, max_lag: int = 150) -> DataFrame:
-    """One row a symbol: sum of response x autocorrelation, Hurst exponents, plateau, autocorrelation at lag 20, verdict."""
+    """One row a symbol: sum of response x autocorrelation, Hurst exponents, plateau, autocorrelation at lag 20 (NULL behind `max_lag`), verdict."""
     r, c = response(series, max_lag), autocorrelation(series, "flow", max_lag)
-    both = r.join(c, ["symbol", "lag"]).groupBy("symbol").agg(F.sum(F.col("response") * F.col("acf")).alias("na"), F.max(F.when(F.col("lag") == min(50, max_lag), F.col("response"))).alias("plateau"), F.max(F.when(F.col("lag") == min(20, max_lag), F.col("acf"))).alias("c20"))
+    both = r.join(c, ["symbol", "lag"]).groupBy("symbol").agg(F.sum(F.col("response") * F.col("acf")).alias("na"), F.max(F.when(F.col("lag") == min(50, max_lag), F.col("response"))).alias("plateau"), F.max(F.when(F.col("lag") == 20, F.col("acf"))).alias("c20"))
     month = F.trunc("ts", "month")
     hp, hf = (hurst(series, x, month).withColumnRenamed("hurst", n) for x, n in (("ret", "hp"), ("flow", "hf")))
     j = both.join(hp, "symbol").join(hf, "symbol")

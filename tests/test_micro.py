@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from barlens import catalog
 from barlens.functions import columns as c
 from barlens.functions import windows as w
 from barlens.operators import attribution, bars, book, diagnostics, latent, memory, metaorder, residual
@@ -251,6 +252,47 @@ def test_memory_micro(spark):
     assert r["permanent"] == 420 and r["purely_temporary"] == 2
 
 
+def lagged(x, y, n):
+    """Covariance of x(i) and y(i + lag) about x's mean and y's, by the number of pairs; 0 at lag 0."""
+    return np.array([0.0] + [float(np.mean((x[:-k] - x[:-k].mean()) * (y[k:] - y[:-k] - (y[k:] - y[:-k]).mean()))) for k in range(1, n + 1)])
+
+
+def test_registered_memory_queries_have_all_lags(spark, tmp_path):
+    rng = np.random.default_rng(11)
+    n = 900
+    sign = np.sign(np.convolve(rng.normal(size=n + 200), np.arange(1, 202) ** -0.7, "valid")[:n])
+    value, k = rng.integers(1, 100, n), rng.integers(1, 50, n)
+    rows = [(i, T0 + dt.timedelta(minutes=20 * i), 20, "error" if sign[i] < 0 else "view", float(value[i]), '{"k": %d}' % k[i]) for i in range(n)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    q = {name: catalog.QUERIES[name](spark, str(tmp_path)) for name in ("sign_acf_500", "power_law_500", "memory_summary", "flow_acf_150", "response_function_150", "noarb_audit")}
+
+    s = sign - sign.mean()
+    acf = np.array([1.0] + [float(s[:-j] @ s[j:]) / (n - j) / sign.var() for j in range(1, 501)])
+    assert values(q["sign_acf_500"], "acf", "lag") == pytest.approx(acf, abs=1e-6)
+    use = np.array([j for j in range(10, 501) if acf[j] > 1e-6])
+    slope = np.polyfit(np.log(use), np.log(acf[use]), 1)[0]
+    m = q["memory_summary"].first()
+    assert [m[f"sign_acf_lag{j}"] for j in (1, 10, 100)] == pytest.approx(acf[[1, 10, 100]], abs=6e-5)
+    assert m["gamma"] == q["power_law_500"].first()["gamma"] == pytest.approx(-slope, abs=6e-4)
+
+    bar = np.arange(n) // 3
+    flow, close = np.bincount(bar, sign * k)[1:], np.log(100.0 + value[2::3])
+    before, f = np.cumsum(np.r_[0, np.diff(close)])[:-1], flow - flow.mean()
+    fc = np.array([1.0] + [float(f[:-j] @ f[j:]) / (len(f) - j) / flow.var() for j in range(1, 151)])
+    r = lagged(flow, before, 150) / flow.var()
+    assert values(q["flow_acf_150"], "acf", "lag") == pytest.approx(fc, abs=1e-6)
+    assert values(q["response_function_150"], "response", "lag") == pytest.approx(r, abs=1e-6)
+    assert q["noarb_audit"].first()["na_product_sum"] == pytest.approx(float(r @ fc), abs=2e-6)
+
+
+def test_no_other_lag_under_a_lags_name(spark):
+    t = ticks(spark, [(600 * i, 10 + i % 7, 1 + i % 3, i % 5 < 2) for i in range(80)])
+    b = bars.flow_bars(t, "1h")
+    m = memory.memory_summary(t, b, 15).first()
+    assert m["sign_acf_lag10"] is not None and m["sign_acf_lag100"] is None
+    assert memory.audit(memory.bar_series(b), 9).first()["flow_acf_lag20"] is None
+
+
 def test_dfa_equals_numpy(spark):
     y = np.random.default_rng(8).normal(size=500)
     df = spark.createDataFrame([("a", T0 + dt.timedelta(hours=i), i, float(v)) for i, v in enumerate(y)], "symbol string, ts timestamp_ntz, id long, x double")
