@@ -21,8 +21,10 @@ from pyspark.sql import functions as F
 
 from barlens.llm.util import slices
 
-#: Bounds of the training sample: samples per language, characters of each, languages; and bytes per dictionary.
-SAMPLES, SAMPLE_CHARS, LANGUAGES, DICT_BYTES = 1000, 300, 64, 112_000
+#: Bounds of the training sample: samples per language, characters of each; and bytes per dictionary.
+SAMPLES, SAMPLE_CHARS, DICT_BYTES = 1000, 300, 112_000
+#: So many languages have samples and dictionaries of full size; more share the same sums. More than MOST are an error.
+LANGUAGES, MOST = 64, 1792
 #: Compressed bytes that are worth one step of the score, and the chunk of a text that is compressed at once.
 SCALE, CHUNK = 6.0, 4096
 #: What each chunk begins with: a run that compresses, or else the compressor would store a short text as it is.
@@ -32,7 +34,7 @@ MARGIN = 0.004
 UNKNOWN = "und"
 
 #: Invented and inflected words share short runs of letters: matches of three bytes count.
-_PARAMETERS = dict(window_log=18, hash_log=17, chain_log=17, search_log=3, min_match=3, strategy=zstandard.STRATEGY_LAZY, target_length=32)
+_PARAMETERS = dict(window_log=18, search_log=3, min_match=3, strategy=zstandard.STRATEGY_LAZY, target_length=32)
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -47,35 +49,37 @@ class Model:
 def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model:
     """Draw the dictionaries from a table of labelled texts.
 
-    Rows with a null text or language are left out. Of each of the LANGUAGES most frequent languages the
-    distinct texts of lowest hash give one passage each, from a place that the hash decides: at most about
-    2 x SAMPLES passages of SAMPLE_CHARS characters a language reach the driver. No rows: a model without languages.
+    Rows with a null text or language are left out. Of each language the distinct texts of lowest hash give one
+    passage each, from a place that the hash decides: at most about 2 x SAMPLES passages of SAMPLE_CHARS characters
+    a language reach the driver. Behind LANGUAGES languages, passages and dictionaries shrink with their number, so
+    that all are learned; more than MOST raise a ValueError. No rows: a model without languages.
     """
     rows = df.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).dropna()
     rows = rows.where(F.col("text").rlike(r"\p{L}")).withColumn("h", F.xxhash64("text"))
     counts = rows.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("h", 0.02).alias("texts"))
-    top = counts.orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    top = counts.orderBy(F.desc("n"), "lang").limit(MOST + 1).collect()
     if not top:
         return Model((), ())
-    limit = F.lit(None).cast("double")
-    for r in top:
-        limit = F.when(F.col("lang") == r["lang"], F.lit(1.3 * SAMPLES / max(r["texts"], 1))).otherwise(limit)
+    if len(top) > MOST:
+        raise ValueError(f"more than {MOST} languages")
+    crowd = max(LANGUAGES, len(top))
+    samples, size = SAMPLES * LANGUAGES // crowd, DICT_BYTES * LANGUAGES // crowd
+    limits = df.sparkSession.createDataFrame([(r["lang"], 1.3 * samples / max(r["texts"], 1)) for r in top], "lang string, limit double")
     share = F.pmod(F.col("h"), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    size = F.length("text")
-    at = 1 + F.pmod(F.shiftright("h", 41), F.greatest(size - SAMPLE_CHARS, F.lit(1)))
-    drawn = rows.where(share < limit).groupBy("lang", "h").agg(F.min(F.substring("text", at, F.lit(SAMPLE_CHARS))).alias("passage")).collect()
-    contents = []
-    for r in top:
-        own = [x["passage"] for x in sorted(drawn, key=lambda x: (x["h"], x["passage"])) if x["lang"] == r["lang"]][:SAMPLES]
-        contents.append(content(own))
-    return Model(tuple(r["lang"] for r in top), tuple(contents))
+    at = 1 + F.pmod(F.shiftright("h", 41), F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(1)))
+    # Hinted: MOST rows.
+    drawn = rows.join(F.broadcast(limits), "lang").where(share < F.col("limit")).groupBy("lang", "h").agg(F.min(F.substring("text", at, F.lit(SAMPLE_CHARS))).alias("passage")).collect()
+    own = {r["lang"]: [] for r in top}
+    for x in sorted(drawn, key=lambda x: (x["h"], x["passage"])):
+        own[x["lang"]].append(x["passage"])
+    return Model(tuple(own), tuple(content(x[:samples], size) for x in own.values()))
 
 
-def content(passages: list[str]) -> bytes:
+def content(passages: list[str], size: int = DICT_BYTES) -> bytes:
     """A dictionary: the passages' words, each once, the most frequent last; no passage stays in one piece."""
     counts = Counter(w for p in passages for w in _WORD.findall(p.lower()))
     order = sorted(counts, key=lambda w: (counts[w], zlib.crc32(w.encode()), w))
-    return " ".join(["", *order, ""]).encode("utf-8", "replace")[-DICT_BYTES:].rjust(8, b" ")
+    return " ".join(["", *order, ""]).encode("utf-8", "replace")[-size:].rjust(8, b" ")
 
 
 def words(text: str) -> bytes:
@@ -86,7 +90,9 @@ def words(text: str) -> bytes:
 @lru_cache(maxsize=2)
 def _compressors(model: Model) -> list:
     out = []
-    how = zstandard.ZstdCompressionParameters(write_content_size=False, write_checksum=False, write_dict_id=False, **_PARAMETERS)
+    # Tables of four bytes an entry, as small as the dictionaries of many languages are.
+    log = 17 if len(model.contents) <= LANGUAGES else max(map(len, model.contents)).bit_length()
+    how = zstandard.ZstdCompressionParameters(write_content_size=False, write_checksum=False, write_dict_id=False, hash_log=log, chain_log=log, **_PARAMETERS)
     for content in model.contents:
         d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         d.precompute_compress(compression_params=how)

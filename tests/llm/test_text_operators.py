@@ -358,6 +358,27 @@ def test_language_of_odd_rows(spark, odd, docs):
     assert by_id(langid.identify(odd, one), "lang_pred")[5] == ("fr",)
 
 
+def invented(n, size=24):
+    """Texts of n invented languages of 30 words each, which share none: (lang, text)."""
+    rng = random.Random(7)
+    for i in range(n):
+        own = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(30)]
+        for _ in range(3):
+            yield f"l{i:03d}", " ".join(rng.sample(own, size))
+
+
+def test_all_of_many_languages_are_learned(spark, monkeypatch):
+    rows = list(invented(90))
+    df = spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(rows)], "doc_id long, text string, lang string")
+    model = langid.fit(df)
+    assert sorted(model.languages) == sorted({lang for lang, _ in rows})
+    assert [langid.predict(model, t)[0] for _, t in rows] == [lang for lang, _ in rows]
+    assert sum(map(len, model.contents)) <= langid.LANGUAGES * langid.DICT_BYTES
+    monkeypatch.setattr(langid, "MOST", 89)
+    with pytest.raises(ValueError):
+        langid.fit(df)
+
+
 def test_toxicity_on_held_out_rows(spark):
     d = "/root/testdata/sf0.1"
     got = queries.toxicity_scores(spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").toPandas()
