@@ -29,8 +29,9 @@ LANGUAGES, MOST = 64, 1792
 SCALE, CHUNK = 6.0, 4096
 #: What each chunk begins with: a run that compresses, or else the compressor would store a short text as it is.
 LEAD = bytes(64)
-#: Rejected: a text whose best and second-best outputs differ by no more than this share of the second.
-MARGIN = 0.004
+#: Rejected: a text whose best and second-best outputs differ by no more than this share of the second, or this many
+#: bytes. Of the held-out rows at sf 0.1 these keep 99.5 % of the rightly told and 2.0 % of those of a language left out.
+MARGIN, LEAST_LEAD = 0.05, 2
 UNKNOWN = "und"
 
 #: Invented and inflected words share short runs of letters: matches of three bytes count.
@@ -116,7 +117,7 @@ def predict(model: Model, text: str | None) -> tuple[str, float, bool]:
     best = n[order[0]]
     score = 1 / sum([math.exp((best - x) / SCALE) for x in n])
     second = n[order[1]] if len(n) > 1 else math.inf
-    return model.languages[order[0]], score, second - best > MARGIN * min(second, 1 << 62)
+    return model.languages[order[0]], score, second - best > max(MARGIN * min(second, 1 << 62), LEAST_LEAD)
 
 
 def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -345,6 +345,17 @@ def test_language_on_held_out_rows(spark):
     assert (got.held_out == got.doc_id.map(lambda i: zlib.crc32(str(i).encode()) % 4 == 2)).all()
 
 
+def test_unlearned_languages_are_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text IS NOT NULL AND n_chars > 60")
+    learned, held = docs.where(~langid.held_out()), docs.where(langid.held_out())
+    kept, strange = [], []
+    for lang in ("de", "en", "es", "fr"):
+        model = langid.fit(learned.where(F.col("lang") != lang))
+        for r in held.select("text", "lang").collect():
+            (strange if r["lang"] == lang else kept).append(langid.predict(model, r["text"])[2])
+    assert len(strange) > 100 and np.mean(strange) < 0.06 and np.mean(kept) > 0.98
+
+
 def test_language_of_odd_rows(spark, odd, docs):
     model = langid.fit(docs)
     got = by_id(langid.identify(odd, model), "lang_pred", "score", "accepted")
