@@ -4,6 +4,10 @@ A page's outcome is bad or not. A host's bad rate has a beta prior around its re
 one around its suffix's, that one around the rate of all. How strong the priors are is estimated from the
 outcomes of each level (the beta-binomial's variance). A host is blocked where the lower bound of its rate is
 above a limit: few outcomes on a host say little by themselves.
+
+A suffix is the last label, or the last two where SUFFIXES lists them; other public suffixes of several labels
+aren't known. A registered domain has one label more. Ports don't count there, and an IP address is a domain and
+a suffix of its own. The SQL takes the last label and the last two: equal where no such host occurs.
 """
 
 from __future__ import annotations
@@ -19,6 +23,21 @@ MOST_RULES = 500
 #: Deviations between mean and bound, the limit of the bound, and the range of the spread between siblings.
 DEVIATIONS, LIMIT, SPREAD = 1.645, 0.5, (0.001, 0.5)
 
+#: Public suffixes of two labels: second-level labels by country.
+SUFFIXES = tuple(
+    f"{label}.{country}"
+    for country, labels in {
+        "uk": "ac co gov ltd me net nhs org plc police sch", "au": "asn com edu gov id net org", "nz": "ac co geek gen govt iwi maori net org school",
+        "za": "ac co gov net org web", "jp": "ac ad co ed go gr lg ne or", "kr": "ac co go ne or pe re", "in": "ac co edu firm gen gov ind net org res",
+        "br": "art blog com edu gov net org", "ar": "com edu gob gov net org", "mx": "com edu gob net org", "co": "com edu gov net org", "cn": "ac com edu gov net org",
+        "hk": "com edu gov idv net org", "tw": "com edu gov idv net org", "sg": "com edu gov net org per", "my": "com edu gov net org", "th": "ac co go in mi net or",
+        "id": "ac co go my net or sch web", "ph": "com edu gov net org", "vn": "com edu gov net org", "tr": "bel com edu gen gov k12 net org web", "il": "ac co gov k12 muni net org",
+        "ua": "com edu gov in net org", "pl": "com edu gov net org", "es": "com edu gob nom org", "pt": "com edu gov org", "gr": "com edu gov net org", "eg": "com edu gov net org",
+        "ke": "ac co go ne or", "ng": "com edu gov net org", "sa": "com edu gov net org", "pk": "com edu gov net org", "pe": "com edu gob net org", "hu": "co org",
+    }.items()
+    for label in labels.split()
+)
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _DOMAIN = r"([^.]*\.)?[^.]*$"
 
@@ -32,6 +51,16 @@ def with_parts(df: DataFrame, url_col: str = "url") -> DataFrame:
     return df.withColumns({"host": F.translate(host, _UPPER, _LOWER), "path": path})
 
 
+def _site() -> tuple[Column, Column]:
+    """A host's registered domain and suffix."""
+    bare = F.regexp_extract("host", r"^(\[[^\]]*\]|[^:]*)", 0)
+    address = bare.startswith("[") | bare.rlike(r"^[0-9]+(\.[0-9]+){3}$")
+    two = F.substring_index(bare, ".", -2)
+    long = two.isin(*SUFFIXES)
+    domain = F.when(address, bare).when(long, F.substring_index(bare, ".", -3)).otherwise(two)
+    return domain, F.when(address, bare).when(long, two).otherwise(F.substring_index(bare, ".", -1))
+
+
 def rule(rules: Sequence[tuple[str, str, str]], value: int | None) -> Column:
     """The longest rule that fits host and path: its text, or with a number that part of it; null where none does."""
     if len(rules) > MOST_RULES:
@@ -60,8 +89,9 @@ def reputation(outcomes: DataFrame) -> DataFrame:
     Without any outcome the rate of all counts as 0 and no bound exceeds the limit.
     """
     hosts = outcomes.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).cast("bigint").alias("k"))
-    hosts = hosts.withColumns({"domain": F.regexp_extract("host", _DOMAIN, 0)})
-    domains = hosts.groupBy("domain").agg(F.sum("n").alias("n"), F.sum("k").alias("k")).withColumn("suffix", F.substring_index("domain", ".", -1))
+    domain, suffix = _site()
+    hosts = hosts.withColumns({"domain": domain, "suffix": suffix})
+    domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     # Single rows of sums: what a cross join takes here.
     every = suffixes.agg(F.coalesce(F.sum("k") / F.expr("nullif(sum(n), 0)"), F.lit(0.0)).alias("p0"))
@@ -72,7 +102,7 @@ def reputation(outcomes: DataFrame) -> DataFrame:
 
     top = shrink(suffixes.crossJoin(F.broadcast(every)).withColumn("p", F.col("p0")), "rate").select("suffix", F.col("rate").alias("p"), "p0")
     mid = shrink(domains.join(top, "suffix"), "rate").select("domain", F.col("rate").alias("p"), "p0")
-    own = shrink(hosts.join(mid, "domain"), "rate")
+    own = shrink(hosts.drop("suffix").join(mid, "domain"), "rate")
     deviation = F.sqrt(F.col("rate") * (1 - F.col("rate")) / (F.col("n") + F.col("m") + 1))
     return own.select("host", "n", "k", (F.col("rate") - DEVIATIONS * deviation).alias("bound"))
 

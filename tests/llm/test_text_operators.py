@@ -466,6 +466,19 @@ def test_reputation_shrinks(spark):
     assert got["a.x.com"] > got["b.x.com"] > got["d.x.com"] > got["c1.y.com"]
 
 
+def test_sites(spark):
+    want = {
+        "www.a.co.uk": ("a.co.uk", "co.uk"), "a.co.uk:8080": ("a.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"), "x.b.com.au": ("b.com.au", "com.au"), "a.example.com:80": ("example.com", "com"),
+        "example.org": ("example.org", "org"), "net": ("net", "net"), "": ("", ""), "10.0.0.1:99": ("10.0.0.1", "10.0.0.1"), "[::1]:80": ("[::1]", "[::1]"), "1.2.3": ("2.3", "3"),
+    }
+    domain, suffix = urlfilter._site()
+    got = spark.createDataFrame([(h,) for h in want], "host string").select("host", domain.alias("d"), suffix.alias("s")).collect()
+    assert {r["host"]: (r["d"], r["s"]) for r in got} == want
+    rows = [("a.bad.co.uk", 1)] * 40 + [(f"s{i}.site{i}.co.uk", 0) for i in range(40)] + [("b.bad.co.uk", None), ("b.good.co.uk", None)]
+    bound = {r["host"]: r["bound"] for r in urlfilter.reputation(spark.createDataFrame(rows, "host string, bad int")).collect()}
+    assert bound["b.bad.co.uk"] > bound["b.good.co.uk"]
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{DIR}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES[:-1]:
