@@ -488,3 +488,29 @@ def test_pipeline_stages(spark):
     out = corpus_pipeline.run(spark, DIR)
     packed_right(out.collect(), queries.CAPACITY)
     assert {"pipeline", *queries.QUERIES} <= {*entry.queries()} and entry.oracle_sql().keys() <= entry.queries().keys()
+
+
+def test_pipeline_equals_plain_python(spark, docs):
+    from tokenizers import Tokenizer
+
+    rows = docs.select("doc_id", "text").collect()
+    frame = lambda rows: docs.where(F.col("doc_id").isin([r["doc_id"] for r in rows]))
+    model = toxicity.fit(docs, spark.read.parquet(f"{DIR}/labels.parquet"))
+    clean = [r for r in rows if toxicity.scores(model, [r["text"]])[0] < corpus_pipeline.TOXIC]
+    known = langid.fit(frame(clean))
+    told = [r for r in clean if langid.predict(known, r["text"])[2]]
+    sets = neardup._sets([r["text"] for r in told], neardup.frequent(frame(told).select("text"), len(told)))
+    pairs = [(a["doc_id"], told[j]["doc_id"]) for i, a in enumerate(told) for j in range(i) if a["text"] == told[j]["text"] or neardup.jaccard(sets[i], sets[j]) >= neardup.THRESHOLD]
+    one = {*closure(pairs, [r["doc_id"] for r in told]).values()}
+    assert 0 < len(one) < len(told) < len(clean) < len(rows)
+    lib = Tokenizer.from_file(BPE)
+    want = Counter()
+    for r in told:
+        if r["doc_id"] in one:
+            ids = [*lib.encode(r["text"] or "", add_special_tokens=False).ids, 0]
+            for k in range(0, len(ids), queries.CAPACITY):
+                piece = ids[k : k + queries.CAPACITY]
+                want[r["doc_id"], k // queries.CAPACITY, k, len(piece), zlib.crc32(np.array(piece, "<u4").tobytes())] += 1
+    out = corpus_pipeline.run(spark, DIR).collect()
+    packed_right(out, queries.CAPACITY)
+    assert want == Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in out)
