@@ -117,8 +117,11 @@ def fit_forest(train: DataFrame, features: list[str], seed: int = 7, trees: int
     features = sorted(features)
     rows = train.where(_usable(features))
     scaling = _scaling(rows, features)
-    # The rows of lowest hash: a sample of fixed size, whatever the order or the partitions.
-    sample = rows.select(F.array(*_scaled(scaling)).alias("x")).orderBy(F.xxhash64("x"), "x").limit(trees * ROWS).toPandas()
+    # The rows whose key has the lowest hash, then in an order of their own: a sample of fixed size, whatever the order or
+    # the partitions. Rows without a key go by their values.
+    key = F.xxhash64(*[k for k in ("symbol", "ts") if k in rows.columns] or ["x"])
+    sample = rows.withColumn("x", F.array(*_scaled(scaling))).select("x", key.alias("h")).orderBy("h", "x").limit(trees * ROWS)
+    sample = sample.orderBy(F.xxhash64("x"), "x").toPandas()
     if sample.empty:
         raise ValueError("no usable training rows")
     grown, size = grow(np.stack(sample["x"].to_numpy()), trees, np.random.default_rng(seed))

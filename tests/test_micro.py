@@ -314,6 +314,18 @@ def test_markout_guards(spark):
     assert attribution.permanent_transient(attribution.markout(b, (1,))).count() == 0
 
 
+def test_forest_samples_rows_not_values(spark, monkeypatch):
+    monkeypatch.setattr(latent, "ROWS", 30)
+    seen = []
+    grow = latent.grow
+    monkeypatch.setattr(latent, "grow", lambda x, *a: seen.append(x) or grow(x, *a))
+    for value in range(3):
+        rows = [(1, T0 + dt.timedelta(hours=i), float(value) if i % 3 == 0 else 10 + i / 7) for i in range(3000)]
+        latent.fit_forest(spark.createDataFrame(rows, "symbol int, ts timestamp_ntz, a double"), ["a"], trees=10)
+    for x in seen:
+        assert len(x) == 300 and 0.2 < (x == x.min()).mean() < 0.47
+
+
 def test_forest_finds_outliers(spark):
     rng = np.random.default_rng(2)
     rows = [(1, i, float(a), float(b)) for i, (a, b) in enumerate(rng.normal(size=(400, 2)))] + [(1, 1000, 9.0, -9.0), (1, 1001, None, None), (1, 1002, None, 0.0)]
