@@ -19,15 +19,22 @@ def ratio(a: str | Column, b: str | Column) -> Column:
     return F.try_divide(col(a), col(b))
 
 
+def number(x: str | Column) -> Column:
+    """A number, from text too; NULL for NaN and what is none."""
+    return present(col(x).try_cast("double"))
+
+
 def to_bool(x: str | Column) -> Column:
-    """Booleans from text ("true", "0", in any case, trimmed) or numbers; other text is NULL."""
-    return F.trim(col(x).cast("string")).try_cast("boolean")
+    """Booleans as they are, "true", "false", "1" and "0" in any case, trimmed, and numbers by whether they are 0; else NULL."""
+    text = F.lower(F.trim(col(x).cast("string")))
+    named = F.when(text.isin("true", "1"), True).when(text.isin("false", "0"), False)
+    return F.when(F.typeof(col(x)).isin("string", "boolean"), named).otherwise(number(x) != 0)
 
 
 def signed_volume(quantity: str | Column = "quantity", maker: str | Column = "is_buyer_maker") -> Column:
-    """Negative where the buyer made the price; bad quantities count 0."""
-    q = F.coalesce(present(col(quantity).try_cast("double")), F.lit(0.0))
-    return F.when(to_bool(maker), -q).otherwise(q)
+    """Negative where the buyer made the price; bad quantities count 0; NULL where the maker isn't known."""
+    q, made = F.coalesce(number(quantity), F.lit(0.0)), to_bool(maker)
+    return F.when(made, -q).when(~made, q)
 
 
 def illiquidity(close="close", open_="open", volume="volume", dollar: bool = True) -> Column:

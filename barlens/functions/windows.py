@@ -12,7 +12,6 @@ def along(order: str | Column = "ts") -> WindowSpec:
     return Window.partitionBy("symbol").orderBy(order)
 
 
-
 def across() -> WindowSpec:
     return Window.partitionBy("ts")
 
@@ -83,3 +82,21 @@ def numbered(df: DataFrame, order: list[str], block: Column, total: str | None =
     if total:
         df = df.withColumn("cum", F.col("_s0") + F.sum(value).over(own.rowsBetween(Window.unboundedPreceding, 0)))
     return df.drop("_b", "_c0", "_s0")
+
+
+def neighbours(df: DataFrame, columns: list[str], ahead: bool = False) -> DataFrame:
+    """Add prev_x (or next_x) of each column x: its value in the row before (or behind) along (ts, id) of the symbol.
+
+    A block is an hour of one symbol: no task sorts more. The row that a block lacks at its edge comes from the last
+    (or first) rows of blocks, of which there is one a block.
+    """
+    hour = F.date_trunc("hour", "ts")
+    df = df.withColumn("_b", hour)
+    order, values = F.struct("ts", "id"), F.struct(*columns)
+    step, edge = (F.lead, F.min_by) if ahead else (F.lag, F.max_by)
+    edges = df.groupBy("symbol", "_b").agg(edge(values, order).alias("_e"))
+    edges = edges.withColumn("_e", step("_e").over(Window.partitionBy("symbol").orderBy("_b")))
+    own = Window.partitionBy("symbol", "_b").orderBy("ts", "id")
+    name = "next" if ahead else "prev"
+    df = df.join(edges, ["symbol", "_b"]).withColumn("_v", F.coalesce(step(values).over(own), "_e"))
+    return df.withColumns({f"{name}_{c}": F.col(f"_v.{c}") for c in columns}).drop("_b", "_e", "_v")

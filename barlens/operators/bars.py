@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barlens.functions.columns import ratio, signed_volume
+from barlens.functions.columns import number, ratio, signed_volume
 
 #: Bar lengths: those that divide a day, and a week from Monday.
 STEPS = {"1min": "1 minute", "5min": "5 minutes", "15min": "15 minutes", "30min": "30 minutes", "1h": "1 hour", "4h": "4 hours", "D": "1 day", "week": "7 days"}
@@ -31,20 +31,30 @@ def densify(bars: DataFrame) -> DataFrame:
 
 
 def last_price(price: str = "price") -> Column:
-    return F.max_by(price, F.when(F.col(price).isNotNull(), F.struct("ts_tick", "id")))
+    return F.max_by(number(price), F.when(number(price).isNotNull(), F.struct("ts_tick", "id")))
+
+
+def counted(trades: DataFrame) -> DataFrame:
+    """Trades whose quantity is a number; the others are rejected, as no bar can count them."""
+    return trades.withColumn("quantity", number("quantity")).where("quantity IS NOT NULL")
+
+
+def trade_sums() -> list[Column]:
+    """What trade bars hold of their ticks (ts_tick, id, price, quantity, signed)."""
+    return [F.sum("signed").alias("signed"), F.sum("quantity").alias("volume"), F.count(number("price")).alias("trade_intensity"), F.sum(number("price") * F.col("quantity")).alias("dollar_volume"), last_price().alias("close")]
 
 
 def trade_bars(trades: DataFrame, freq: str, fill: bool = True) -> DataFrame:
     """(symbol, ts, tfi, trade_intensity, dollar_volume, close) from (symbol, ts, id, price, quantity, is_buyer_maker)."""
-    ticks = trades.withColumns({"ts_tick": F.col("ts"), "ts": bar(freq), "signed": signed_volume()})
-    sums = ticks.groupBy("symbol", "ts").agg(F.sum("signed").alias("signed"), F.sum("quantity").alias("volume"), F.count("price").alias("trade_intensity"), F.sum(F.col("price") * F.col("quantity")).alias("dollar_volume"), last_price().alias("close"))
+    ticks = counted(trades).withColumns({"ts_tick": F.col("ts"), "ts": bar(freq), "signed": signed_volume()})
+    sums = ticks.groupBy("symbol", "ts").agg(*trade_sums())
     bars = sums.select("symbol", "ts", ratio("signed", "volume").alias("tfi"), "trade_intensity", "dollar_volume", "close")
     return fill_grid(bars, freq, ("trade_intensity",)) if fill else bars
 
 
 def ohlcv_bars(trades: DataFrame, freq: str) -> DataFrame:
     """(symbol, ts, open, high, low, close, volume, dollar_volume, n)."""
-    ticks = trades.withColumns({"ts_tick": F.col("ts"), "ts": bar(freq)})
+    ticks = counted(trades).withColumns({"price": number("price"), "ts_tick": F.col("ts"), "ts": bar(freq)})
     first = F.min_by("price", F.when(F.col("price").isNotNull(), F.struct("ts_tick", "id")))
     return ticks.groupBy("symbol", "ts").agg(
         first.alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), last_price().alias("close"),

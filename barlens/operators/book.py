@@ -2,22 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, WindowSpec
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barlens.functions import columns as c
 from barlens.functions.columns import ratio
+from barlens.functions.windows import neighbours
 from barlens.operators.bars import bar, fill_grid
 
 
-def ordered() -> WindowSpec:
-    return Window.partitionBy("symbol").orderBy("ts", "id")
-
-
 def event_features(quotes: DataFrame) -> DataFrame:
     """(symbol, ts, id, ofi, obi, microprice_adj, rel_spread, mid) of each quote; the first has no ofi."""
-    pb, qb, pa, qa = (F.col(x) for x in ("best_bid_price", "best_bid_qty", "best_ask_price", "best_ask_qty"))
-    pb0, qb0, pa0, qa0 = (F.lag(x).over(ordered()) for x in (pb, qb, pa, qa))
+    names = ["best_bid_price", "best_bid_qty", "best_ask_price", "best_ask_qty"]
+    quotes = neighbours(quotes, names)
+    pb, qb, pa, qa = (F.col(x) for x in names)
+    pb0, qb0, pa0, qa0 = (F.col(f"prev_{x}") for x in names)
 
     def where(cond, x):
         return F.when(cond, x).otherwise(F.lit(0.0))
@@ -31,9 +30,9 @@ def quote_bars(events: DataFrame, freq: str, fill: bool = True) -> DataFrame:
 
     The last quote of a symbol weighs its median dwell time; the weights of missing values count too.
     """
-    gap = F.timestamp_diff("MICROSECOND", "ts", F.lead("ts").over(ordered())) / 1e6
-    timed = events.withColumn("dwell", gap)
-    timed = timed.withColumn("dwell", F.greatest(F.lit(0.0), F.coalesce("dwell", F.median("dwell").over(Window.partitionBy("symbol")))))
+    timed = neighbours(events, ["ts"], ahead=True).withColumn("dwell", F.timestamp_diff("MICROSECOND", "ts", "next_ts") / 1e6)
+    medians = timed.groupBy("symbol").agg(F.median("dwell").alias("usual"))
+    timed = timed.join(medians, "symbol").withColumn("dwell", F.greatest(F.lit(0.0), F.coalesce("dwell", "usual")))
     timed = timed.withColumns({"ts_tick": F.col("ts"), "ts": bar(freq)})
 
     def weighted(x: str):

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barlens.functions.columns import ratio, signed_volume
-from barlens.functions.windows import along
+from barlens.functions.windows import along, neighbours
 from barlens.operators.bars import bar, fill_grid
 
 
@@ -28,8 +28,8 @@ def interval_entropy(trades: DataFrame, freq: str) -> DataFrame:
     A gap belongs to the bar of its later trade; fewer than three gaps give NULL. Bin edges are those of a
     computed grid, so a value that rounding puts on the wrong side of its edge moves by one bin.
     """
-    gap = F.timestamp_diff("MICROSECOND", F.lag("ts").over(Window.partitionBy("symbol").orderBy("ts", "id")), F.col("ts")) / 1000.0
-    gaps = trades.select("symbol", bar(freq).alias("bar"), F.greatest(gap, F.lit(0.0)).alias("g"), gap.isNotNull().alias("has")).where("has")
+    gap = F.timestamp_diff("MICROSECOND", "prev_ts", "ts") / 1000.0
+    gaps = neighbours(trades.select("symbol", "ts", "id"), ["ts"]).select("symbol", bar(freq).alias("bar"), F.greatest(gap, F.lit(0.0)).alias("g"), gap.isNotNull().alias("has")).where("has")
     own = Window.partitionBy("symbol", "bar")
     g = gaps.withColumns({"n": F.count(F.lit(1)).over(own), "mn": F.min("g").over(own), "mx": F.max("g").over(own)}).where("n >= 3")
     g = g.withColumn("nb", F.least(F.col("n"), F.lit(10)).cast("int")).withColumn("step", (F.col("mx") - F.col("mn")) / F.col("nb"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barlens.functions.columns import ratio, signed_volume
-from barlens.operators.bars import STEPS, last_price
+from barlens.operators.bars import STEPS, counted, trade_sums
 
 
 def trade_bars(trades: DataFrame, freq: str, late: str = "10 minutes") -> DataFrame:
@@ -14,6 +14,6 @@ def trade_bars(trades: DataFrame, freq: str, late: str = "10 minutes") -> DataFr
 
     `trades` has (symbol, ts TIMESTAMP, id, price, quantity, is_buyer_maker); ticks later than `late` are dropped.
     """
-    ticks = trades.withWatermark("ts", late).withColumn("signed", signed_volume()).withColumn("ts_tick", F.col("ts"))
-    sums = ticks.groupBy("symbol", F.window("ts", STEPS[freq])).agg(F.sum("signed").alias("signed"), F.sum("quantity").alias("volume"), F.count("price").alias("trade_intensity"), F.sum(F.col("price") * F.col("quantity")).alias("dollar_volume"), last_price().alias("close"))
+    ticks = counted(trades).withWatermark("ts", late).withColumn("signed", signed_volume()).withColumn("ts_tick", F.col("ts"))
+    sums = ticks.groupBy("symbol", F.window("ts", STEPS[freq])).agg(*trade_sums())
     return sums.select("symbol", F.col("window.start").alias("ts"), ratio("signed", "volume").alias("tfi"), "trade_intensity", "dollar_volume", "close")

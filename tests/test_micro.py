@@ -1,11 +1,14 @@
 """Hand-computed cases, error contracts, and twins of the relational plans."""
 
 import datetime as dt
+import hashlib
 import io
+import urllib.parse
 import zipfile
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from barlens import catalog
@@ -102,9 +105,35 @@ def test_candles(spark):
 
 
 def test_bool_and_signed_volume(spark):
-    df = panel(spark, [("true", "3"), (" False", "2"), ("1", "x"), ("no idea", "1")], "m string, q string").select(c.to_bool("m").alias("b"), c.signed_volume("q", "m").alias("v")).collect()
-    assert [r["b"] for r in df] == [True, False, True, None]
-    assert [r["v"] for r in df][:3] == [-3, 2, 0]
+    df = panel(spark, [("true", "3"), (" False", "2"), ("1", "x"), ("no idea", "1"), ("t", "1"), ("yes", "1"), ("0", "NaN"), (None, "1")], "m string, q string").select(c.to_bool("m").alias("b"), c.signed_volume("q", "m").alias("v")).collect()
+    assert [r["b"] for r in df] == [True, False, True, None, None, None, False, None]
+    assert [r["v"] for r in df] == [-3, 2, 0, None, None, None, 0, None]
+    for kind, values_ in (("double", (1.0, 0.0, 2.0, float("nan"))), ("int", (1, 0, 2, None)), ("boolean", (True, False, True, None))):
+        got = panel(spark, [(i, x) for i, x in enumerate(values_)], f"i int, m {kind}").select("i", c.to_bool("m").alias("b"), c.signed_volume(F.lit(3), "m").alias("v"))
+        assert values(got, "b", "i") == [True, False, True, None] and values(got, "v", "i") == [-3, 3, -3, None]
+
+
+def test_bad_quantities_are_rejected(spark):
+    t = ticks(spark, [(0, 10, 3, False), (1, 11, float("nan"), True), (2, 12, 1, True)])
+    r = bars.trade_bars(t, "1min").first()
+    assert (r["tfi"], r["trade_intensity"], r["dollar_volume"], r["close"]) == (0.5, 2, 42, 12)
+    text = t.withColumn("quantity", F.when(F.col("id") == 1, "none").otherwise(F.col("quantity").cast("string")))
+    assert bars.trade_bars(text, "1min").first() == r and bars.ohlcv_bars(text, "1min").first()["volume"] == 4
+    maker = t.withColumn("is_buyer_maker", F.when(F.col("id") == 2, 1.0).when(F.col("id") == 0, 0.0))
+    assert bars.trade_bars(maker, "1min").first()["tfi"] == 0.5
+
+
+def test_neighbours_over_hours_equal_one_window(spark):
+    rng = np.random.default_rng(4)
+    at = np.cumsum(rng.choice([1, 700, 3599, 3601, 9000], 300))
+    rows = [(i % 2, T0 + dt.timedelta(seconds=int(s)), i, float(rng.normal()) if i % 7 else None) for i, s in enumerate(at)]
+    df = spark.createDataFrame(rows, "symbol int, ts timestamp_ntz, id long, x double").repartition(5)
+    for ahead, step in ((False, F.lag), (True, F.lead)):
+        name = "next" if ahead else "prev"
+        got = w.neighbours(df, ["x", "ts"], ahead).select("id", f"{name}_x", f"{name}_ts")
+        own = Window.partitionBy("symbol").orderBy("ts", "id")
+        want = df.select("id", step("x").over(own), step("ts").over(own))
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.toDF("id", f"{name}_x", f"{name}_ts").collect()))
 
 
 def test_impact(spark):
@@ -337,21 +366,112 @@ def test_forest_finds_outliers(spark):
         latent.fit_forest(df.where("ts < 0"), ["a"])
 
 
+def zipped(text):
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("x.csv", text)
+    return buf.getvalue()
+
+
+TRADES = "agg_trade_id,price,quantity,first_trade_id,last_trade_id,transact_time,is_buyer_maker\n"
+
+
 def test_archive(spark, tmp_path):
     folder = tmp_path / archive.prefix("aggTrades", "AAA")
     folder.mkdir(parents=True)
-    for day, text in (("2024-01-01", "agg_trade_id,price,quantity,first_trade_id,last_trade_id,transact_time,is_buyer_maker\n1,10.5,2,1,1,1704067200000,true\n"), ("2024-01-03", "2,11,1,2,2,1704240000000,False\n")):
-        buf = io.BytesIO()
-        with zipfile.ZipFile(buf, "w") as z:
-            z.writestr("x.csv", text)
-        (folder / f"AAA-aggTrades-{day}.zip").write_bytes(buf.getvalue())
-    (folder / "AAA-aggTrades-2024-01-03.zip.CHECKSUM").write_text("0" * 64 + "  x.zip")
+    # Milliseconds with a header, and microseconds without one.
+    texts = {"2024-01-01": TRADES + "1,10.5,2,1,1,1704067200000,true\n", "2024-01-03": "2,11,1,2,2,1704240000000000,False\n3,,x,2,2,1704240000000001,1\n"}
+    for day, text in texts.items():
+        (folder / f"AAA-aggTrades-{day}.zip").write_bytes(zipped(text))
     root = f"file://{tmp_path}"
-    df = archive.load(spark, root, "aggTrades", "AAA", "2024-01-01", "2024-01-31").orderBy("id").collect()
-    assert [(r["price"], r["is_buyer_maker"], r["ts"].isoformat()) for r in df] == [(10.5, True, "2024-01-01T00:00:00"), (11.0, False, "2024-01-03T00:00:00")]
-    assert archive.load(spark, root, "aggTrades", "AAA", "2025-01-01", "2025-01-31").count() == 0
+    df = archive.load_trades(spark, root, "AAA", "2024-01-01", "2024-01-31").orderBy("id").collect()
+    assert [(r["symbol"], r["price"], r["quantity"], r["is_buyer_maker"], r["ts"].isoformat()) for r in df] == [
+        ("AAA", 10.5, 2, True, "2024-01-01T00:00:00"), ("AAA", 11.0, 1, False, "2024-01-03T00:00:00"), ("AAA", None, None, True, "2024-01-03T00:00:00.000001"),
+    ]
+    assert archive.load(spark, root, "aggTrades", ["AAA", "none"], "2025-01-01", "2025-01-31").columns == archive.load(spark, root, "aggTrades", "AAA", "2024-01-01", "2024-01-01").columns
+    assert archive.load(spark, root, "aggTrades", "none", "2024-01-01", "2024-01-31").count() == 0
     assert [r["listed"] for r in archive.universe(archive.catalog(spark, root, "aggTrades")).orderBy("date").collect()] == [True, False, True]
-    assert sorted(r["ok"] for r in archive.checked(spark, root, "aggTrades").collect()) == [False, True]
+    # A good digest, a wrong one, and a damaged file that isn't asked for.
+    digest = hashlib.sha256((folder / "AAA-aggTrades-2024-01-01.zip").read_bytes()).hexdigest()
+    (folder / "AAA-aggTrades-2024-01-01.zip.CHECKSUM").write_text(f"{digest.upper()}  x.zip")
+    (folder / "AAA-aggTrades-2024-01-03.zip.CHECKSUM").write_text("0" * 64 + "  x.zip")
+    (folder / "AAA-aggTrades-2024-01-02.zip").write_bytes(b"no zip")
+    assert archive.load_trades(spark, root, "AAA", "2024-01-01", "2024-01-01").count() == 1
+    with pytest.raises(Exception, match="published digest"):
+        archive.load_trades(spark, root, "AAA", "2024-01-03", "2024-01-03").collect()
+    assert archive.load_trades(spark, root, "AAA", "2024-01-03", "2024-01-03", verify=False).count() == 2
+    assert sorted(r["ok"] for r in archive.checked(spark, root, "aggTrades").collect()) == [False, True, True]
+
+
+def test_archive_opens_wanted_files_only(spark, tmp_path):
+    for s in ("AAA", "BBB"):
+        folder = tmp_path / archive.prefix("aggTrades", s)
+        folder.mkdir(parents=True)
+        (folder / f"{s}-aggTrades-2024-01-01.zip").write_bytes(zipped("1,1,1,1,1,1704067200000,true\n"))
+    df = archive.load_trades(spark, f"file://{tmp_path}", "AAA", "2024-01-01", "2024-01-01")
+    (tmp_path / archive.prefix("aggTrades", "BBB") / "BBB-aggTrades-2024-01-01.zip").unlink()
+    assert [r["symbol"] for r in df.collect()] == ["AAA"]
+
+
+def test_quotes_by_transaction_time(spark, tmp_path):
+    folder = tmp_path / archive.prefix("bookTicker", "AAA")
+    folder.mkdir(parents=True)
+    (folder / "AAA-bookTicker-2024-01-01.zip").write_bytes(zipped("7,10,1,11,2,1704067200000,1704067260000\n"))
+    r = archive.load_quotes(spark, f"file://{tmp_path}", "AAA", "2024-01-01", "2024-01-01").first()
+    assert (r["id"], r["ts"].isoformat(), r["best_bid_price"], r["best_ask_qty"]) == (7, "2024-01-01T00:00:00", 10, 2)
+
+
+def test_remote_archive(spark, tmp_path):
+    good, key = zipped(TRADES + "1,10.5,2,1,1,1704067200000,true\n"), lambda s, d: archive.prefix("aggTrades", s) + f"{s}-aggTrades-{d}.zip"
+    blobs = {f"http://files/{key(s, d)}": good for s, d in (("AAA", "2024-01-01"), ("AAA", "2024-01-03"), ("BBB", "2024-01-02"))}
+    blobs |= {f"http://files/{key('AAA', '2024-01-01')}.CHECKSUM": hashlib.sha256(good).hexdigest().encode()}
+    tag = lambda kind, inner, x: f"<{kind}><{inner}>{x}</{inner}></{kind}>"
+
+    def get(url):
+        if not url.startswith("http://lists"):
+            if url not in blobs:
+                raise FileNotFoundError(url)
+            return blobs[url]
+        where = urllib.parse.parse_qs(urllib.parse.urlparse(url).query)["prefix"][0]
+        names = sorted({x.removeprefix("http://files/") for x in blobs} | {where + "readme.zip"})
+        inner = [tag("Contents", "Key", x) for x in names if x.startswith(where) and "/" not in x[len(where) :]]
+        inner += [tag("CommonPrefixes", "Prefix", x) for x in sorted({where + x[len(where) :].split("/")[0] + "/" for x in names if x.startswith(where) and "/" in x[len(where) :]})]
+        return f"<R xmlns='x'>{''.join(inner)}</R>".encode()
+
+    a = archive.Archive("http://files", "http://lists", get=get)
+    assert a.symbols("aggTrades") == ["AAA", "BBB"] and a.dates("aggTrades", "AAA") == [dt.date(2024, 1, 1), dt.date(2024, 1, 3)]
+    there = archive.universe(a.files(spark, "aggTrades"))
+    assert there.count() == 6 and there.where("listed").count() == 3
+    assert len(a.mirror(tmp_path, "aggTrades", ["AAA", "BBB"], "2024-01-01", "2024-01-03")) == 3
+    assert archive.load_trades(spark, f"file://{tmp_path}", ["AAA", "BBB"], "2024-01-01", "2024-01-03").groupBy("symbol").count().orderBy("symbol").collect() == [("AAA", 2), ("BBB", 1)]
+
+
+def test_fetch_tries_again(monkeypatch):
+    import urllib.error
+
+    asked = []
+
+    def gone(url, timeout):
+        asked.append(url)
+        raise urllib.error.HTTPError(url, 404, "", {}, None)
+
+    monkeypatch.setattr(archive.urllib.request, "urlopen", gone)
+    with pytest.raises(FileNotFoundError):
+        archive.fetch("http://x", wait=0)
+    assert len(asked) == 1
+    answers = iter([OSError("reset"), urllib.error.HTTPError("u", 503, "", {}, None), io.BytesIO(b"ok")])
+
+    def flaky(url, timeout):
+        x = next(answers)
+        if isinstance(x, Exception):
+            raise x
+        return x
+
+    monkeypatch.setattr(archive.urllib.request, "urlopen", flaky)
+    assert archive.fetch("http://x", wait=0) == b"ok"
+    answers = iter([OSError("reset")] * 4)
+    with pytest.raises(OSError):
+        archive.fetch("http://x", wait=0)
 
 
 def test_archive_listing_and_download(tmp_path):
@@ -375,8 +495,10 @@ def test_archive_listing_and_download(tmp_path):
 
 
 def test_epoch_units(spark):
-    df = panel(spark, [(1_700_000_000_000,), (1_700_000_000_000_000,), (1_700_000_000_000_000_000,)], "x long").select(archive.epoch("x", "x").alias("t"))
+    times = [1_700_000_000_000, 1_700_000_000_000_000, 1_700_000_000_000_000_000]
+    df = panel(spark, [(x, archive.unit_of([x, None, "bad"])) for x in times], "x long, u string").select(archive.epoch("x", "u").alias("t"))
     assert {r["t"].isoformat() for r in df.collect()} == {"2023-11-14T22:13:20"}
+    assert archive.unit_of([]) == "ms"
 
 
 def test_stream_bars_equal_batch(spark, tmp_path):
