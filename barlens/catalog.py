@@ -19,7 +19,7 @@ from barlens.sources import fixtures as fx
 FLAGSHIP = "tfi_zscore_weekly"
 #: Parameters of the queries, as in their SQL.
 BETA, VOL, LAGS = 26, 12, 60
-#: Lags of the queries without SQL: of trades' signs, and of bars.
+#: The reference's own ranges of lags: of trades' signs, and of bars.
 SIGN_LAGS, BAR_LAGS = 500, 150
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -282,7 +282,7 @@ def power_law_500(spark, d):
 
 @query
 def power_law(spark, d):
-    return memory.power_law(memory.sign_acf(fx.event_trades(spark, d), LAGS), 2)
+    return memory.power_law(memory.sign_acf(fx.event_trades(spark, d), LAGS), 2).drop("interpretation")
 
 
 @query
@@ -341,3 +341,39 @@ def run_strategy(spark, d):
 @query
 def run_pipeline(spark, d):
     return studies.run_pipeline(raw_weekly(spark, d), fx.sectors(spark, d), beta_window=BETA, vol_weight_window=VOL)["deciles"]
+
+
+@query
+def run_backbone(spark, d):
+    return studies.run_backbone(fx.item_trades(spark, d), "week")["deciles"]
+
+
+@query
+def run_phase1(spark, d):
+    return studies.run_phase1(fx.quotes(spark, d), "4h")["verdict"]
+
+
+@query
+def strategy_report(spark, d):
+    return studies.run_strategy(fx.item_trades(spark, d), "week")["report"]
+
+
+@query
+def run_propagator(spark, d):
+    return studies.run_propagator(fx.event_trades(spark, d), "1h", BAR_LAGS)["audit"]
+
+
+@query
+def run_flow_memory(spark, d):
+    s = studies.run_flow_memory(fx.event_trades(spark, d), "1h", SIGN_LAGS)["summary"]
+    return s.select("*", "power_law.*").drop("power_law")
+
+
+@query
+def run_attribution(spark, d):
+    return studies.run_attribution(fx.event_trades(spark, d), "1h")["split"]
+
+
+@query
+def run_metaorder(spark, d):
+    return studies.run_metaorder(fx.event_trades(spark, d), "4h", 6, 0.3, 2)["universe_stats"]

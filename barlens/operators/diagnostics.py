@@ -12,7 +12,7 @@ from barlens.functions.windows import along, mean_rank
 def forward_return(panel: DataFrame, n: int = 6) -> DataFrame:
     """Add fwd, the return over the next `n` rows, to a dense panel."""
     if n < 1:
-        raise ValueError("n must be >= 1")
+        raise ValueError("the horizon must be one bar or more")
     return panel.withColumn("fwd", ratio(F.lead("close", n).over(along()), "close") - 1)
 
 
@@ -36,17 +36,47 @@ def ic_summary(ic: DataFrame) -> DataFrame:
     return ic.agg(F.avg("ic").alias("ic_mean"), F.stddev_pop("ic").alias("ic_std"), ratio(F.avg("ic"), F.stddev_pop("ic")).alias("ic_ir"), F.avg(F.coalesce(F.col("ic") > 0, F.lit(False)).cast("double")).alias("ic_hit_rate"), F.count("ic").alias("n_obs"))
 
 
+def ordered_rank(rows: DataFrame, groups: int = 200) -> DataFrame:
+    """Add `r`, the place from 1 on of each row along (score, ts, symbol), and `n`, the number of rows.
+
+    Rows are cut into blocks: the scores between two neighbours of `groups` approximate quantiles, and the months of each
+    score that is a quantile. A frequent score is a quantile, so no block holds much more than one row in `groups` but for
+    one score's month. Blocks are counted, their counts summed in order, and each is numbered by itself.
+    """
+    cuts = rows.agg(F.percentile_approx("score", [i / groups for i in range(groups + 1)], 10 * groups).alias("q")).first()["q"]
+    if cuts is None:
+        raise ValueError("no row has both a score and a return")
+    bounds = F.array(*[F.lit(float(x)) for x in sorted(set(cuts))])
+    below = F.size(F.filter(bounds, lambda b: b < F.col("score").cast("double")))
+    equal = F.array_contains(bounds, F.col("score").cast("double"))
+    rows = rows.withColumns({"_g": 2 * below + equal.cast("int"), "_m": F.when(equal, F.date_trunc("month", "ts"))})
+    counts = rows.groupBy("_g", "_m").agg(F.count(F.lit(1)).alias("_c"))
+    w = Window.orderBy("_g", "_m")
+    counts = counts.select("_g", F.col("_m").alias("_m2"), F.coalesce(F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.sum("_c").over(Window.partitionBy(F.lit(1))).alias("n"))
+    found = rows.join(counts, (rows["_g"] == counts["_g"]) & rows["_m"].eqNullSafe(counts["_m2"])).drop(counts["_g"])
+    own = F.row_number().over(Window.partitionBy("_g", "_m").orderBy("score", "ts", "symbol"))
+    return found.withColumn("r", F.col("_before") + own).drop("_g", "_m", "_m2", "_before")
+
+
 def decile_audit(panel: DataFrame, deciles: int = 10) -> DataFrame:
     """(decile, count, median, mean, p5, p95, mean_minus_median) of fwd by the pooled rank of the score.
 
-    Equal scores rank by time, then symbol. Ranks come from the counts of distinct scores, summed in order in one
-    task, and from an order within each score.
+    Equal scores rank by time, then symbol. Without any pair of score and return: a ValueError. The quantiles are exact,
+    from the counts of a decile's distinct returns.
     """
-    rows = panel.where("score IS NOT NULL AND fwd IS NOT NULL").select("symbol", "ts", "score", "fwd")
-    counts = rows.groupBy("score").agg(F.count(F.lit(1)).alias("c"))
-    w = Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    before = counts.select("score", F.coalesce(F.sum("c").over(w), F.lit(0)).alias("before"), F.sum("c").over(Window.partitionBy(F.lit(1))).alias("n"))
-    ranked = rows.join(before, "score").withColumn("r", F.col("before") + F.row_number().over(Window.partitionBy("score").orderBy("ts", "symbol")))
+    ranked = ordered_rank(panel.where("score IS NOT NULL AND fwd IS NOT NULL").select("symbol", "ts", "score", "fwd"))
     ranked = ranked.withColumn("decile", F.least(F.floor(F.col("r") / (F.col("n") + 1) * deciles), F.lit(deciles - 1)).cast("int"))
     table = ranked.groupBy("decile").agg(F.count(F.lit(1)).alias("count"), F.median("fwd").alias("median"), F.avg("fwd").alias("mean"), F.percentile("fwd", F.lit(0.05)).alias("p5"), F.percentile("fwd", F.lit(0.95)).alias("p95"))
     return table.withColumn("mean_minus_median", F.col("mean") - F.col("median"))
+
+
+def audit_verdict(deciles: DataFrame) -> DataFrame:
+    """The last decile of a decile audit, with `verdict`: whether its mean and its median tell the same."""
+    mean, median = F.col("mean"), F.col("median")
+    said = (
+        F.when((mean > 0) & (median <= 0), "tail-made: positive mean, median not positive")
+        .when((median > 0) & (mean <= 0), "tail-lost: positive median, mean not positive")
+        .when(F.abs(mean - median) > 0.5 * F.abs(median) + 1e-12, "skewed: mean and median differ")
+        .otherwise("broad: mean and median agree")
+    )
+    return deciles.orderBy(F.desc("decile")).limit(1).withColumn("verdict", said)

@@ -73,13 +73,17 @@ def sign_acf(trades: DataFrame, max_lag: int = 500) -> DataFrame:
 
 
 def power_law(acf: DataFrame, min_lag: int = 10, max_lag: int | None = None) -> DataFrame:
-    """(symbol, gamma, log_amplitude, r_squared, implied_hurst): a line through the logarithms; NULL with under 8 points."""
+    """(symbol, gamma, log_amplitude, r_squared, implied_hurst, interpretation): a line through the logarithms.
+
+    NULL with under 8 points; r_squared is 0 where all values are equal.
+    """
     upto = F.lit(True) if max_lag is None else F.col("lag") <= max_lag
     p = acf.withColumn("use", (F.col("lag") >= min_lag) & upto & (F.col("acf") > 1e-6))
     x, y = F.when(F.col("use"), F.ln("lag")), F.when(F.col("use"), F.ln(F.when(F.col("acf") > 0, F.col("acf"))))
-    f = p.groupBy("symbol").agg(F.count(x).alias("n"), F.regr_slope(y, x).alias("b"), F.regr_intercept(y, x).alias("a"), F.regr_r2(y, x).alias("r"))
+    f = p.groupBy("symbol").agg(F.count(x).alias("n"), F.regr_slope(y, x).alias("b"), F.regr_intercept(y, x).alias("a"), F.when(F.var_pop(y) > 0, F.regr_r2(y, x)).otherwise(0.0).alias("r"))
     enough = lambda c: F.when(F.col("n") >= 8, F.round(c, 3))
-    return f.select("symbol", enough(-F.col("b")).alias("gamma"), enough(F.col("a")).alias("log_amplitude"), enough(F.col("r")).alias("r_squared"), enough(1 + F.col("b") / 2).alias("implied_hurst"))
+    said = F.when(F.col("n") < 8, "too few positive lags for a fit").when(1 + F.col("b") / 2 > 0.55, "long memory").otherwise("weak or no long memory")
+    return f.select("symbol", enough(-F.col("b")).alias("gamma"), enough(F.col("a")).alias("log_amplitude"), enough(F.col("r")).alias("r_squared"), enough(1 + F.col("b") / 2).alias("implied_hurst"), said.alias("interpretation"))
 
 
 def hurst(series: DataFrame, x: str, block: Column, min_scale: int = 8, n_scales: int = 20) -> DataFrame:
@@ -127,6 +131,11 @@ def response(series: DataFrame, max_lag: int = 150) -> DataFrame:
     return lags(var, max_lag).join(found, ["symbol", "lag"], "left").fillna(0.0, ["response"])
 
 
+def status(symbols: DataFrame, known: DataFrame, other: str) -> DataFrame:
+    """(symbol, status) of all symbols: what is known, or else `other`."""
+    return symbols.distinct().join(known, "symbol", "left").withColumn("status", F.coalesce("status", F.lit(other)))
+
+
 def memory_summary(trades: DataFrame, bars: DataFrame, max_lag: int = 500) -> DataFrame:
     """One row a symbol: Hurst exponents of trades' flow and bars' returns, sign autocorrelations (NULL behind `max_lag`), the power law."""
     month = F.trunc("ts", "month")

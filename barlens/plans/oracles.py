@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 # Named parts; each statement lists those it needs, in order.
 PARTS = {
     "et": """SELECT user_id % 20 AS symbol, ts, event_id AS id, 100 + value AS price, CAST(regexp_extract(props, '[0-9]+', 0) AS DOUBLE) AS quantity,
@@ -113,6 +115,38 @@ PARTS = {
     "qb0": """SELECT symbol, time_bucket(INTERVAL {step}, ts) AS ts, sum(ofi) AS ofi, sum(obi * dwell) / nullif(sum(dwell), 0) AS obi, sum(microprice_adj * dwell) / nullif(sum(dwell), 0) AS microprice_adj,
       sum(rel_spread * dwell) / nullif(sum(dwell), 0) AS rel_spread, count(mid) AS update_intensity, arg_max(mid, (ts, id)) AS mid_close FROM qe GROUP BY 1, 2""",
 }
+# The reference's own ranges of lags: 500 of trades' signs, 150 of bars.
+PARTS["lg500"], PARTS["lg150"] = (PARTS["lg"].replace("61", str(n + 1)) for n in (500, 150))
+PARTS["sa500"] = re.sub(r"\blg\b", "lg500", PARTS["sa"].replace("62", "502"))
+PARTS["rs150"], PARTS["fc150"] = (re.sub(r"\blg\b", "lg150", PARTS[x]) for x in ("rs", "fc"))
+
+
+def _dfa(name: str, series: str) -> str:
+    """Detrended fluctuation of a series (symbol, ts, id, x): the parts up to (symbol, h)."""
+    own = [f"{name}{i}" for i in range(6)]
+    PARTS[own[0]] = f"SELECT symbol, ts, id, x - avg(x) OVER (PARTITION BY symbol) AS c, count(*) OVER (PARTITION BY symbol) AS n FROM ({series})"
+    for a, i in zip(own[1:5], range(1, 5), strict=True):
+        PARTS[a] = re.sub(r"\bd([0-3])\b", lambda m: name + m[1], PARTS[f"d{i}"])
+    PARTS[own[5]] = f"""SELECT symbol, CASE WHEN count(f) >= 4 THEN least(1.5, greatest(0, regr_slope(ln(f), ln(s)))) ELSE 0.5 END AS h
+      FROM (SELECT DISTINCT symbol FROM {own[0]}) LEFT JOIN {own[4]} USING (symbol) GROUP BY 1"""
+    return " ".join(own)
+
+
+_DT = _dfa("dt", "SELECT symbol, ts, id, sv AS x FROM es")
+_DP = _dfa("dp", "SELECT symbol, ts, 0 AS id, coalesce(lp - lag(lp) OVER (PARTITION BY symbol ORDER BY ts), 0) AS x FROM mv0")
+_DR = _dfa("dr", "SELECT symbol, ts, 0 AS id, ret AS x FROM b")
+_DF = _dfa("df", "SELECT symbol, ts, 0 AS id, flow AS x FROM b")
+PARTS["pl"] = """SELECT symbol, count(y) AS n, regr_slope(y, x) AS b, regr_intercept(y, x) AS a, CASE WHEN var_pop(y) > 0 THEN regr_r2(y, x) ELSE 0 END AS r2
+  FROM (SELECT symbol, CASE WHEN lag >= 10 AND acf > 1e-6 THEN ln(lag) END AS x, CASE WHEN lag >= 10 AND acf > 1e-6 THEN ln(acf) END AS y FROM sa500) GROUP BY 1"""
+PARTS["ms"] = """SELECT symbol, dt5.h AS hf, dp5.h AS hp, l1, l10, l100, pl.* EXCLUDE (symbol) FROM dt5 JOIN dp5 USING (symbol) JOIN pl USING (symbol)
+  JOIN (SELECT symbol, max(acf) FILTER (lag = 1) AS l1, max(acf) FILTER (lag = 10) AS l10, max(acf) FILTER (lag = 100) AS l100 FROM sa500 GROUP BY 1) USING (symbol)"""
+PARTS["na"] = """SELECT symbol, sum(response * acf) AS na, max(response) FILTER (lag = 50) AS plateau, max(acf) FILTER (lag = 20) AS c20, max(dr5.h) AS hp, max(df5.h) AS hf
+  FROM rs150 JOIN fc150 USING (symbol, lag) JOIN dr5 USING (symbol) JOIN df5 USING (symbol) GROUP BY 1"""
+PARTS["mf"] = """SELECT symbol, ts, buy_participation, sell_participation, tfi, total_volume, size_cv, interval_entropy,
+  avg(CASE WHEN coalesce(abs(tfi), 0) >= 0.3 THEN 1 ELSE 0 END) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS pressure_score
+  FROM grid4 LEFT JOIN pt4 USING (symbol, ts) LEFT JOIN en USING (symbol, ts)"""
+PARTS["mw0"], PARTS["mw1"], PARTS["mw2"] = (re.sub(r"\bpw([01])\b", r"mw\1", PARTS[x]).replace("0.5", "0.3").replace("FROM pb", "FROM mf") for x in ("pw0", "pw1", "pw2"))
+PARTS["mw"] = "SELECT symbol, count(*) AS n_bars FROM mw2 WHERE st <> 9 GROUP BY symbol, run HAVING count(*) >= 2"
 PARTS["qb1"] = PARTS["qb0"].replace("{step}", "1 hour")
 PARTS["qb4"] = PARTS.pop("qb0").replace("{step}", "4 hour")
 PARTS["qg1"] = "SELECT symbol, unnest(generate_series(min(ts), max(ts), INTERVAL 1 hour)) AS ts FROM qb1 GROUP BY 1"
@@ -162,6 +196,15 @@ _WIN = "least(greatest(close, quantile_cont(close, 0.1) OVER (PARTITION BY ts)),
 _EXT = "CASE WHEN close IS NOT NULL THEN CASE WHEN close >= quantile_cont(close, 0.9) OVER (PARTITION BY ts) OR close <= quantile_cont(close, 0.1) OVER (PARTITION BY ts) THEN 1 ELSE 0 END END"
 _SLIP = "(5 + 0.6 * vol * sqrt(1e4 / CASE WHEN adv > 0 THEN adv END) * 1e4)"
 
+_LAW = _r(*[f"{n}=CASE WHEN n >= 8 THEN round({x}, 3) END" for n, x in (("gamma", "-b"), ("log_amplitude", "a"), ("r_squared", "r2"), ("implied_hurst", "1 + b / 2"))])
+_LAW += ", CASE WHEN n < 8 THEN 'too few positive lags for a fit' WHEN 1 + b / 2 > 0.55 THEN 'long memory' ELSE 'weak or no long memory' END AS interpretation"
+_MS = f"{_MV} {_DT} {_DP} sg ss0 lg500 sa500 pl ms"
+_SUMMARY = _r("hurst_flow=round(hf, 3)", "hurst_prices=round(hp, 3)", "h_gap=round(hf - hp, 3)", "sign_acf_lag1=round(l1, 4)", "sign_acf_lag10=round(l10, 4)", "sign_acf_lag100=round(l100, 4)")
+_SUMMARY += f", CASE WHEN hf > hp + 0.1 THEN 'long-memory flow, diffusive prices' ELSE 'no clear gap' END AS central_tension, {_LAW}"
+_NA = f"{_MV} b0 b bs lg150 rs150 fc150 {_DR} {_DF} na"
+_AUDIT = _r("na_product_sum=round(na, 6)", "hurst_prices=round(hp, 3)", "hurst_flow=round(hf, 3)", "response_plateau=round(plateau, 6)", "flow_acf_lag20=round(c20, 4)")
+_AUDIT += ", CASE WHEN abs(hp - 0.5) < 0.07 THEN 'prices diffusive' ELSE 'prices non-diffusive' END || ' | ' || CASE WHEN hf > 0.6 THEN 'flow long-memory' ELSE 'flow memory weak' END AS interpretation"
+
 ORACLES: dict[str, str] = {
     "tfi_zscore_weekly": _sql(_WEEK, f"SELECT symbol, ts, {_r('tfi', 'tfi_z=' + _z('tfi'))} FROM wb"),
     "tfi_bars": _sql(f"{_EV} grid", f"""SELECT symbol, ts, {_r('tfi')}, coalesce(trade_intensity, 0) AS trade_intensity, {_r('dollar_volume', 'close')} FROM grid LEFT JOIN
@@ -221,7 +264,21 @@ ORACLES: dict[str, str] = {
       (SELECT model, 20 * max(CASE WHEN t = 20 THEN price END) - sum(CASE WHEN t < 20 THEN price ELSE 0 END) AS p, avg(CASE WHEN t < 20 THEN price END) AS b, max(CASE WHEN t = 20 THEN price END) AS s
        FROM (SELECT model, t, coalesce(sum(CASE model WHEN 'permanent' THEN 1 WHEN 'slow_decay' THEN exp(-k * ln(2) / 5) ELSE CASE WHEN k = 0 THEN 1 ELSE 0 END END) FILTER (k < t), 0) AS price
          FROM (SELECT unnest(['permanent', 'slow_decay', 'purely_temporary']) AS model), (SELECT unnest(range(0, 21)) AS t), (SELECT unnest(range(0, 20)) AS k) GROUP BY 1, 2) GROUP BY 1)"""),
+    "sign_acf_500": _sql(f"{_EV} sg ss0 lg500 sa500", f"SELECT symbol, lag, {_r('acf')} FROM sa500"),
+    "power_law_500": _sql(f"{_EV} sg ss0 lg500 sa500 pl", f"SELECT symbol, {_LAW} FROM pl"),
+    "flow_acf_150": _sql(f"{_MV} b0 b bs lg150 fc150", f"SELECT symbol, lag, {_r('acf')} FROM fc150"),
+    "response_function_150": _sql(f"{_MV} b0 b bs lg150 rs150", f"SELECT symbol, lag, {_r('response')} FROM rs150"),
+    "memory_summary": _sql(_MS, f"SELECT symbol, {_SUMMARY} FROM ms"),
+    "run_flow_memory": _sql(f"{_MS}", f"""SELECT symbol, CASE WHEN k < 502 THEN 'too few trades for the lags' WHEN lo = hi THEN 'signs do not vary' ELSE 'ok' END AS status, {_SUMMARY}
+      FROM ms JOIN (SELECT symbol, count(*) FILTER (sv <> 0) AS k, min(sign(sv)) AS lo, max(sign(sv)) AS hi FROM es GROUP BY 1) USING (symbol)"""),
+    "noarb_audit": _sql(_NA, f"SELECT symbol, {_AUDIT} FROM na"),
+    "run_propagator": _sql(_NA, f"SELECT symbol, 'ok' AS status, {_AUDIT} FROM na"),
+    "run_metaorder": _sql(f"{_EN} grid4 pt4 mf mw0 mw1 mw2 mw", f"""SELECT symbol, n_bars, coalesce(w, 0) AS n_metaorder_windows, {_r('avg_window_bars=coalesce(round(a, 1), 0)')}, coalesce(m, 0) AS max_window_bars, {_r('mean_pressure_score=round(p, 3)', 'mean_abs_tfi=round(t, 3)', 'mean_interval_entropy=round(e, 3)')}
+      FROM (SELECT symbol, count(*) AS n_bars, avg(pressure_score) AS p, avg(abs(tfi)) AS t, avg(interval_entropy) AS e FROM mf GROUP BY 1)
+      LEFT JOIN (SELECT symbol, count(*) AS w, avg(n_bars) AS a, max(n_bars) AS m FROM mw GROUP BY 1) USING (symbol)"""),
     "pit_universe": """WITH f AS (SELECT DISTINCT s_nationkey AS symbol, CAST(l_shipdate AS DATE) AS date FROM lineitem JOIN supplier ON l_suppkey = s_suppkey)
       SELECT d.date, s.symbol, f.date IS NOT NULL AS listed FROM (SELECT CAST(unnest(generate_series(min(date), max(date), INTERVAL 1 day)) AS DATE) AS date FROM f) d CROSS JOIN (SELECT DISTINCT symbol FROM f) s
       LEFT JOIN f ON f.date = d.date AND f.symbol = s.symbol""",
 }
+# The study's split is the operator's, on the same bars.
+ORACLES["run_attribution"] = ORACLES["perm_transient"]

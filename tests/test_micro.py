@@ -276,7 +276,7 @@ def test_memory_micro(spark):
     s = panel(spark, [("a", i, float((-1) ** i)) for i in range(4)], "symbol string, idx long, x double")
     assert values(memory.autocorrelation(s, "x", 2), "acf", "lag") == pytest.approx([1, -1, 1])
     acf = panel(spark, [("a", k, 1.0 if k == 0 else k**-0.4) for k in range(100)], "symbol string, lag int, acf double")
-    assert tuple(memory.power_law(acf).first())[1:] == (0.4, 0.0, 1.0, 0.8)
+    assert tuple(memory.power_law(acf).first())[1:] == (0.4, 0.0, 1.0, 0.8, "long memory")
     r = {x["model"]: x["pnl"] for x in memory.round_trip(panel(spark, [("a", 1, 2.0)], "symbol string, lag int, response double")).collect()}
     assert r["permanent"] == 420 and r["purely_temporary"] == 2
 

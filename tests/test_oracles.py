@@ -37,6 +37,6 @@ def test_query_equals_sql(spark, duck, name):
     assert rows(own) == rows(said)
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES) - {"run_strategy", "run_pipeline", "logistic_score"}))
+@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES)))
 def test_query_has_rows(spark, name):
     assert catalog.QUERIES[name](spark, DIR).count() > 0
