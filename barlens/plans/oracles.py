@@ -56,7 +56,9 @@ PARTS = {
       CAST(dense_rank() OVER (ORDER BY ts) - 1 AS INTEGER) AS t FROM lq WINDOW w AS (PARTITION BY symbol ORDER BY ts)""",
     "ic0": """SELECT ts, rank() OVER (PARTITION BY ts ORDER BY score) + (count(*) OVER (PARTITION BY ts, score) - 1) / 2 AS a,
       rank() OVER (PARTITION BY ts ORDER BY fwd) + (count(*) OVER (PARTITION BY ts, fwd) - 1) / 2 AS b FROM sc WHERE score IS NOT NULL AND fwd IS NOT NULL""",
-    "ic1": "SELECT ts, CASE WHEN stddev_pop(a) * stddev_pop(b) > 0 THEN covar_pop(a, b) / (stddev_pop(a) * stddev_pop(b)) END AS ic FROM ic0 GROUP BY 1",
+    # Ranks are halves of whole numbers, so these sums are exact; a covariance of 0 that covar_pop gives as a tiny number would be a hit or not by chance.
+    "ic1": """SELECT ts, CASE WHEN va > 0 AND vb > 0 THEN cov / sqrt(va) / sqrt(vb) END AS ic
+      FROM (SELECT ts, sum(a * b) - m AS cov, sum(a * a) - m AS va, sum(b * b) - m AS vb FROM (SELECT *, count(*) OVER (PARTITION BY ts) * pow(count(*) OVER (PARTITION BY ts) + 1, 2) / 4 AS m FROM ic0) GROUP BY ts, m)""",
     "ic": "SELECT ts, ic FROM (SELECT DISTINCT ts FROM sc) LEFT JOIN ic1 USING (ts)",
     "l0": """SELECT *, max(t) OVER () AS last FROM sc""",
     "l1": """SELECT *, count(*) OVER (PARTITION BY t) AS nn, row_number() OVER (PARTITION BY t ORDER BY score, symbol) AS rk FROM l0
