@@ -62,7 +62,7 @@ def extremity(x: str | Column, quantile: float = 0.9) -> Column:
 def normalized(df: DataFrame, columns: list[str], how: str | None) -> DataFrame:
     """The columns as z-scores or percentile ranks of their bar, or as they are."""
     if how not in ("zscore", "rank", None):
-        raise ValueError("normalize must be 'zscore', 'rank' or None")
+        raise ValueError(f"no such normalization: {how}; zscore, rank or None")
     return df if how is None else df.withColumns({c: (zscore if how == "zscore" else percentile_rank)(c) for c in columns})
 
 

@@ -29,11 +29,11 @@ class Backtest:
 
     def __post_init__(self):
         if not 0.0 < self.quantile <= 0.5:
-            raise ValueError("quantile must be in (0, 0.5]")
+            raise ValueError("a side takes more than 0 and at most half of the symbols")
         if self.holding_bars < 1 or self.rebalance_every < 1:
-            raise ValueError("holding_bars and rebalance_every must be >= 1")
+            raise ValueError("lots are held, and books renewed, for one bar or more")
         if self.stop_loss <= 0.0:
-            raise ValueError("stop_loss must be positive")
+            raise ValueError("the stop is a loss above 0")
 
     def grid(self, panel: DataFrame) -> DataFrame:
         """A dense panel (symbol, ts, score, close, dollar_volume) with bar numbers t, the last one, prices and costs."""
@@ -47,8 +47,8 @@ class Backtest:
         ranked = grid.where(ok).withColumns({"n": F.count(F.lit(1)).over(Window.partitionBy("t")), "r": F.row_number().over(Window.partitionBy("t").orderBy("score", "symbol"))})
         k = F.least(F.greatest(F.lit(1), F.floor(self.quantile * F.col("n"))), F.expr("n div 2"))
         chosen = ranked.where("n >= 2").withColumn("k", k).withColumn("side", F.when(F.col("r") <= F.col("k"), 1).when(F.col("r") > F.col("n") - F.col("k"), -1)).where("side IS NOT NULL")
-        overlap = max(1, -(-self.holding_bars // self.rebalance_every))
-        notional = F.least(F.lit(self.max_weight * self.gross_exposure), F.lit(self.gross_exposure / overlap / 2) / F.col("k"))
+        cohorts = len(range(0, self.holding_bars, self.rebalance_every))  # that are open at a time
+        notional = F.least(F.lit(self.max_weight * self.gross_exposure), F.lit(self.gross_exposure / cohorts / 2) / F.col("k"))
         sized = chosen.withColumn("notional", notional)
         filled = sized.withColumn("entry_price", self.impact.fill("side", "close", "notional", "adv", "vol"))
         return filled.select("symbol", "side", "t", F.col("ts").alias("entry_time"), "notional", "entry_price", (F.col("notional") / F.col("entry_price")).alias("qty"), "last", F.col("close").alias("entry_close"))

@@ -42,9 +42,9 @@ def path_length(n: np.ndarray) -> np.ndarray:
     return np.where(n > 2, 2 * (np.log(np.maximum(n - 1, 1)) + np.euler_gamma) - 2 * (n - 1) / np.maximum(n, 1), (n == 2).astype(float))
 
 
-def grow(rows: np.ndarray, trees: int, rng: np.random.Generator) -> tuple[list[np.ndarray], int]:
+def grow(rows: np.ndarray, trees: int, rng: np.random.Generator, per_tree: int) -> tuple[list[np.ndarray], int]:
     """Isolation trees as arrays of (feature, threshold, left, right, value); value is a leaf's depth."""
-    size = min(ROWS, len(rows))
+    size = min(per_tree, len(rows))
     limit = int(np.ceil(np.log2(max(size, 2))))
     out = []
     for _ in range(trees):
@@ -112,19 +112,27 @@ class Forest:
         return self.raw(df).withColumn("score", squash("raw", self.centre, self.scale)).drop("raw")
 
 
-def fit_forest(train: DataFrame, features: list[str], seed: int = 7, trees: int = TREES) -> Forest:
-    """Fit on the rows of `train` that have a feature; sorted feature names fix the column order."""
+def fit(train: DataFrame, features: list[str], model: str = "forest", **options) -> Forest | Logistic:
+    """Fit a model by name, forest or logistic; options are those of its own function."""
+    if model not in ("forest", "logistic"):
+        raise ValueError(f"no such model: {model}; forest or logistic")
+    return fit_forest(train, features, **options) if model == "forest" else fit_logistic(train, features, **options)
+
+
+def fit_forest(train: DataFrame, features: list[str], seed: int = 7, trees: int = TREES, rows: int = ROWS) -> Forest:
+    """Fit on the rows of `train` that have a feature, `rows` a tree; sorted feature names fix the column order."""
+    per_tree = rows
     features = sorted(features)
     rows = train.where(_usable(features))
     scaling = _scaling(rows, features)
     # The rows whose key has the lowest hash, then in an order of their own: a sample of fixed size, whatever the order or
     # the partitions. Rows without a key go by their values.
     key = F.xxhash64(*[k for k in ("symbol", "ts") if k in rows.columns] or ["x"])
-    sample = rows.withColumn("x", F.array(*_scaled(scaling))).select("x", key.alias("h")).orderBy("h", "x").limit(trees * ROWS)
+    sample = rows.withColumn("x", F.array(*_scaled(scaling))).select("x", key.alias("h")).orderBy("h", "x").limit(trees * per_tree)
     sample = sample.orderBy(F.xxhash64("x"), "x").toPandas()
     if sample.empty:
-        raise ValueError("no usable training rows")
-    grown, size = grow(np.stack(sample["x"].to_numpy()), trees, np.random.default_rng(seed))
+        raise ValueError("no training row has a feature")
+    grown, size = grow(np.stack(sample["x"].to_numpy()), trees, np.random.default_rng(seed), per_tree)
     model = Forest(tuple(features), scaling, grown, size)
     c = model.raw(rows).agg(F.median("raw").alias("c"), (F.percentile("raw", F.lit(0.75)) - F.percentile("raw", F.lit(0.25))).alias("q"), F.stddev_pop("raw").alias("s")).first()
     return Forest(tuple(features), scaling, grown, size, c["c"], c["q"] if c["q"] > 1e-12 else c["s"] or 1.0)
@@ -147,8 +155,8 @@ class Logistic:
         return df.withColumn("score", F.when(_usable(list(self.features)), 1 / (1 + F.exp(-z))))
 
 
-def fit_logistic(train: DataFrame, features: list[str], label: str = "label", iterations: int = 1000) -> Logistic:
-    """Fit with classes of equal weight in sum and an L2 penalty of 1."""
+def fit_logistic(train: DataFrame, features: list[str], label: str = "label", iterations: int = 1000, penalty: float = 1.0) -> Logistic:
+    """Fit with classes of equal weight in sum and an L2 penalty."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.functions import array_to_vector
 
@@ -158,10 +166,10 @@ def fit_logistic(train: DataFrame, features: list[str], label: str = "label", it
     rows = rows.where(F.col(label).isNotNull())
     counts = {int(r["y"]): r["n"] for r in rows.groupBy(F.col(label).cast("int").alias("y")).agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
-        raise ValueError("no usable (feature, label) training rows")
+        raise ValueError("no training row has a label and a feature")
     n = sum(counts.values())
     y = F.col(label).cast("int")
     weight = F.when(y == 1, n / (2 * counts.get(1, 1))).otherwise(n / (2 * counts.get(0, 1)))
     data = rows.select(array_to_vector(F.array(*_scaled(scaling))).alias("x"), y.cast("double").alias("y"), weight.alias("w"))
-    m = LogisticRegression(featuresCol="x", labelCol="y", weightCol="w", maxIter=iterations, regParam=1.0 / n, standardization=False).fit(data)
+    m = LogisticRegression(featuresCol="x", labelCol="y", weightCol="w", maxIter=iterations, regParam=penalty / n, standardization=False).fit(data)
     return Logistic(tuple(features), scaling, tuple(m.coefficients.toArray().tolist()), float(m.intercept))

@@ -30,7 +30,7 @@ def residuals(panel: DataFrame, beta_window: int = 120, ridge: float = 1e-8) ->
     The normal equations come from rolling sums; the symmetric 3 x 3 system is solved in closed form.
     """
     if beta_window < 5:
-        raise ValueError("beta_window too short for a stable 3-factor fit")
+        raise ValueError("three factors need a window of five rows or more")
     y, m, s = (F.when(F.col("ret").isNotNull() & F.col("market").isNotNull() & F.col("sector_index").isNotNull(), F.col(x)) for x in ("ret", "market", "sector_index"))
     p = panel.withColumns({"_y": y, "_m": m, "_s": s})
     terms = {"m": F.col("_m"), "s": F.col("_s"), "y": F.col("_y"), "mm": F.col("_m") ** 2, "ss": F.col("_s") ** 2, "ms": F.col("_m") * F.col("_s"), "my": F.col("_m") * F.col("_y"), "sy": F.col("_s") * F.col("_y")}
@@ -50,5 +50,7 @@ def residuals(panel: DataFrame, beta_window: int = 120, ridge: float = 1e-8) ->
 
 def rank_trajectory(panel: DataFrame, velocity_window: int = 6) -> DataFrame:
     """Add rank (percentile of the residual in its bar) and rank_velocity (its change over `velocity_window` rows)."""
+    if velocity_window < 1:
+        raise ValueError("a velocity needs one row or more")
     p = panel.withColumn("rank", percentile_rank("residual"))
     return p.withColumn("rank_velocity", F.col("rank") - F.lag("rank", velocity_window).over(along()))

@@ -17,7 +17,9 @@ from barlens.functions import windows as w
 from barlens.operators import attribution, bars, book, diagnostics, latent, memory, metaorder, residual
 from barlens.operators.backtest import Backtest
 from barlens.operators.impact import Impact
+from barlens.plans import studies
 from barlens.sources import archive
+from barlens.sources import fixtures as fx
 from barlens.streaming import bars as stream_bars
 
 T0 = dt.datetime(2024, 1, 1)
@@ -344,13 +346,12 @@ def test_markout_guards(spark):
 
 
 def test_forest_samples_rows_not_values(spark, monkeypatch):
-    monkeypatch.setattr(latent, "ROWS", 30)
     seen = []
     grow = latent.grow
     monkeypatch.setattr(latent, "grow", lambda x, *a: seen.append(x) or grow(x, *a))
     for value in range(3):
         rows = [(1, T0 + dt.timedelta(hours=i), float(value) if i % 3 == 0 else 10 + i / 7) for i in range(3000)]
-        latent.fit_forest(spark.createDataFrame(rows, "symbol int, ts timestamp_ntz, a double"), ["a"], trees=10)
+        latent.fit_forest(spark.createDataFrame(rows, "symbol int, ts timestamp_ntz, a double"), ["a"], trees=10, rows=30)
     for x in seen:
         assert len(x) == 300 and 0.2 < (x == x.min()).mean() < 0.47
 
@@ -376,6 +377,125 @@ def zipped(text):
 TRADES = "agg_trade_id,price,quantity,first_trade_id,last_trade_id,transact_time,is_buyer_maker\n"
 
 
+def test_logistic_equals_newton(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(300, 2)) * [1, 20] + [0, 5]
+    y = (x[:, 0] - x[:, 1] / 20 + rng.normal(size=300) > 0.8).astype(int)
+    rows = [(i, float(a), float(b) if i % 11 else None, float(v) if i % 13 else None) for i, ((a, b), v) in enumerate(zip(x, y, strict=True))]
+    df = panel(spark, [*rows, (999, None, None, 1.0)], "ts int, a double, b double, label double")
+    scores = {r["ts"]: r["score"] for r in latent.fit(df, ["b", "a"], "logistic").transform(df).collect()}
+    # Imputed and scaled over all rows with a feature, then Newton's method with balanced weights and the same penalty.
+    full = np.array([[r[1], np.nan if r[2] is None else r[2]] for r in rows])
+    full = np.where(np.isnan(full), np.nanmedian(full, axis=0), full)
+    z = np.column_stack([(full - full.mean(axis=0)) / full.std(axis=0), np.ones(300)])
+    known = np.array([r[3] is not None for r in rows])
+    t, u = z[known], np.array([r[3] for r in rows if r[3] is not None])
+    weight = np.where(u == 1, len(u) / 2 / u.sum(), len(u) / 2 / (len(u) - u.sum()))
+    v, keep = np.zeros(3), np.diag([1.0, 1.0, 0.0])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-t @ v))
+        v -= np.linalg.solve((t * (weight * p * (1 - p))[:, None]).T @ t + keep, t.T @ (weight * (p - u)) + keep @ v)
+    want = 1 / (1 + np.exp(-z @ v))
+    assert scores[999] is None
+    assert [scores[i] for i in range(300)] == pytest.approx(want, abs=2e-4)
+    with pytest.raises(ValueError):
+        latent.fit(df.where("label IS NULL"), ["a"], "logistic")
+    with pytest.raises(ValueError):
+        latent.fit(df, ["a"], "other")
+
+
+def test_ordered_rank_equals_one_window(spark):
+    rng = np.random.default_rng(12)
+    score = np.where(rng.random(800) < 0.4, 1.5, rng.normal(size=800).round(1))
+    rows = [(int(s), T0 + dt.timedelta(days=int(d)), float(x)) for s, d, x in zip(rng.integers(0, 9, 800), rng.integers(0, 200, 800), score, strict=True)]
+    df = spark.createDataFrame([*{(s, t): (s, t, x) for s, t, x in rows}.values()], "symbol int, ts timestamp_ntz, score double").repartition(6)
+    want = df.withColumn("w", F.row_number().over(Window.orderBy("score", "ts", "symbol")))
+    got = diagnostics.ordered_rank(df, 20).join(want, ["symbol", "ts", "score"])
+    assert got.count() == df.count() and got.where("r <> w").count() == 0 and got.where(F.col("n") != df.count()).count() == 0
+    with pytest.raises(ValueError):
+        diagnostics.decile_audit(panel(spark, [], "symbol int, ts int, score double, fwd double"))
+
+
+def test_verdicts(spark):
+    table = lambda mean, median: panel(spark, [(0, 5.0, 5.0), (9, mean, median)], "decile int, mean double, median double")
+    said = lambda *x: diagnostics.audit_verdict(table(*x)).first()["verdict"].split(":")[0]
+    assert [said(1.0, -1.0), said(-1.0, 1.0), said(3.0, 1.0), said(1.1, 1.0)] == ["tail-made", "tail-lost", "skewed", "broad"]
+
+
+def test_split_of_bars(spark):
+    p = panel(spark, [(s, t) for s in range(3) for t in range(20)], "symbol int, ts int")
+    assert [studies.split_time(p, 0.6), studies.split_time(p, 0.6, 5), studies.split_time(p, 1.0), studies.split_time(p, 0.1, 9)] == [12, 7, 19, 0]
+    with pytest.raises(ValueError):
+        studies.split_time(p.where("ts < 9"), 0.6)
+
+
+DIR = "/root/testdata/sf0.001"
+
+
+def test_strategy_trades_after_training_only(spark, tmp_path):
+    got = studies.run_strategy(fx.item_trades(spark, DIR), "week", backtest=Backtest(holding_bars=3))
+    p = got["panel"].toPandas()
+    times = sorted(p["ts"].unique())
+    end = times[int(len(times) * 0.6)]
+    lots, stats = got["trades"].toPandas(), got["stats"].first()
+    assert len(lots) == stats["n_trades"] > 0 and lots["entry_time"].min() > end and p["score"].dropna().between(0, 1).all()
+    assert lots["pnl"].sum() == pytest.approx(stats["short_pnl"] + stats["long_pnl"], abs=1e-9)
+    # The same book by the bar loop.
+    part = p[p["ts"] > end]
+    wide = [part.pivot(index="ts", columns="symbol", values=c).sort_index() for c in ("score", "close", "dollar_volume")]
+    want, equity = bar_loop(*[x.to_numpy(float) for x in wide], Backtest(holding_bars=3))
+    assert len(want) == len(lots) and lots["pnl"].sum() == pytest.approx(sum(x[5] for x in want), abs=1e-9)
+    assert values(got["equity"], "equity", "ts") == pytest.approx(equity, abs=1e-9)
+    report = got["report"].orderBy("place").collect()
+    assert [r["name"] for r in report] == [*studies.REPORTED] and report[4]["value"] == stats["n_trades"]
+    assert {r["name"]: r["note"] for r in report}["short_pnl"] == (None if stats["short_pnl"] > 0 else "the short side doesn't pay")
+    studies.write(got["trades"], f"file://{tmp_path}/lots", "symbol")
+    assert spark.read.parquet(f"file://{tmp_path}/lots").count() == len(lots)
+
+
+def test_pipeline_diagnoses_later_rows(spark):
+    klines = bars.ohlcv_bars(fx.item_trades(spark, DIR), "week")
+    got = studies.run_pipeline(klines, fx.sectors(spark, DIR), beta_window=10, vol_weight_window=8)
+    assert got["scores"].where("score NOT BETWEEN 0 AND 1").count() == 0
+    d = got["deciles"].collect()
+    assert len(d) == 10 and max(r["count"] for r in d) - min(r["count"] for r in d) <= 2
+    times = sorted(r["ts"] for r in klines.select("ts").distinct().collect())
+    assert got["ic"].first()["n_obs"] <= len(times) - int(len(times) * 0.6) - 7
+    a, b = got["ic"].first(), got["ic_flipped"].first()
+    assert (a["ic_mean"], a["ic_ir"], a["ic_hit_rate"]) == (-b["ic_mean"], -b["ic_ir"], b["ic_hit_rate"])
+    assert got["verdict"].first()["decile"] == 9
+    with pytest.raises(ValueError):
+        studies.run_pipeline(klines.drop("low"), fx.sectors(spark, DIR))
+
+
+def test_studies_of_panels(spark):
+    a = studies.run_backbone(fx.item_trades(spark, DIR), "week", runup_window=6, velocity_window=3, normalize="rank")
+    b = studies.run_phase1(fx.quotes(spark, DIR), "4h", normalize=None)
+    for got in (a, b):
+        assert got["ic"].first()["n_obs"] > 0 and got["deciles"].count() == 10 and got["panel"].where("score IS NOT NULL").count() > 0
+    with pytest.raises(ValueError):
+        studies.run_backbone(fx.item_trades(spark, DIR), "week", normalize="other")
+
+
+def test_studies_of_flow_give_a_status(spark):
+    # One symbol trades to and fro, one buys in equal lots, one has a single bar.
+    rows = [(s, T0 + dt.timedelta(minutes=10 * i), i, 10.0 + i % 3, 1.0 + (i % 5 if s == "a" else 0), s == "a" and i % 7 < 3) for s in "ab" for i in range(81)]
+    t = spark.createDataFrame([*rows, ("c", T0, 0, 5.0, 1.0, True)], "symbol string, ts timestamp_ntz, id long, price double, quantity double, is_buyer_maker boolean")
+    p = studies.run_propagator(t, "15min", 12, 5)
+    state = {r["symbol"]: (r["status"], r["na_product_sum"] is None) for r in p["audit"].collect()}
+    assert state["a"] == ("ok", False) and state["c"] == ("fewer than two bars", True)
+    b = studies.run_propagator(t.where("symbol <> 'a'"), "30min", 5)
+    assert {r["symbol"]: r["status"] for r in b["audit"].collect()} == {"b": "flow does not vary", "c": "fewer than two bars"}
+    assert b["response"].count() == b["flow_acf"].count() == b["round_trip"].count() == 0
+    m = {r["symbol"]: r["status"] for r in studies.run_flow_memory(t, "15min", 30)["summary"].collect()}
+    assert m == {"a": "ok", "b": "signs do not vary", "c": "too few trades for the lags"}
+    x = studies.run_attribution(t, "15min", (1, 2))
+    assert x["markout"].where("symbol = 'a'").count() == 2 and x["split"].where("symbol = 'a'").count() == 1
+    w_ = studies.run_metaorder(t, "30min", 3, 0.9, 2)
+    r = {r["symbol"]: r for r in w_["universe_stats"].collect()}
+    assert r["b"]["n_metaorder_windows"] == 1 and r["b"]["max_window_bars"] == r["b"]["n_bars"] == 27 and r["b"]["mean_abs_tfi"] == 1
+
+
 def test_archive(spark, tmp_path):
     folder = tmp_path / archive.prefix("aggTrades", "AAA")
     folder.mkdir(parents=True)
