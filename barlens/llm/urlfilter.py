@@ -17,9 +17,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: (host, path, verdict); at most MOST_RULES.
+from barlens.llm.util import joined, keep
+
+#: (host, path, verdict).
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
-MOST_RULES = 500
+#: So many rules are one expression; more are joined.
+CHAIN = 500
 #: Deviations between mean and bound, the limit of the bound, and the range of the spread between siblings.
 DEVIATIONS, LIMIT, SPREAD = 1.645, 0.5, (0.001, 0.5)
 
@@ -61,10 +64,8 @@ def _site() -> tuple[Column, Column]:
     return domain, F.when(address, bare).when(long, two).otherwise(F.substring_index(bare, ".", -1))
 
 
-def rule(rules: Sequence[tuple[str, str, str]], value: int | None) -> Column:
+def _chain(rules: Sequence[tuple[str, str, str]], value: int | None) -> Column:
     """The longest rule that fits host and path: its text, or with a number that part of it; null where none does."""
-    if len(rules) > MOST_RULES:
-        raise ValueError(f"more than {MOST_RULES} rules")
     out = F.lit(None).cast("string")
     for r in sorted(rules, key=lambda r: (len(r[0] + r[1]), len(r[0]), r)):
         fits = ((F.col("host") == r[0]) | F.col("host").endswith("." + r[0])) & F.col("path").startswith(r[1])
@@ -72,39 +73,60 @@ def rule(rules: Sequence[tuple[str, str, str]], value: int | None) -> Column:
     return out
 
 
-def _spread(children: DataFrame) -> DataFrame:
-    """One row `m`: the priors' strength, from (n, k, p) with p the parent's rate."""
+def ruled(df: DataFrame, rules: Sequence[tuple[str, str, str]], chain: int = CHAIN) -> DataFrame:
+    """Add the longest rule that fits `host` and `path`, and what it says as `said`; both null where none does.
+
+    Up to `chain` rules are one expression. More are joined by the host's last labels, once for each number of labels
+    that rules have.
+    """
+    if len(rules) <= chain:
+        return df.withColumns({"rule": _chain(rules, None), "said": _chain(rules, 2)})
+    order = F.struct(F.length(F.concat("rule_host", "rule_path")).alias("size"), F.length("rule_host").alias("host_size"), "rule_host", "rule_path", "verdict")
+    listed = df.sparkSession.createDataFrame(list(rules), "rule_host string, rule_path string, verdict string")
+    listed = listed.groupBy("rule_host").agg(F.collect_list(order).alias("found"))
+    depths = sorted({r[0].count(".") + 1 for r in rules})
+    for d in depths:
+        own = listed.where(F.size(F.split("rule_host", "[.]")) == d).select(F.col("rule_host").alias(f"_h{d}"), F.col("found").alias(f"_f{d}"))
+        df = df.join(own, F.substring_index("host", ".", -d) == F.col(f"_h{d}"), "left")
+    fitting = [F.filter(F.coalesce(F.col(f"_f{d}"), F.array()), lambda r: F.col("path").startswith(r["rule_path"])) for d in depths]
+    df = df.withColumn("_best", F.array_max(F.concat(*fitting)))
+    df = df.withColumns({"rule": F.concat("_best.rule_host", "_best.rule_path"), "said": F.col("_best.verdict")})
+    return df.drop("_best", *[f"_{x}{d}" for d in depths for x in "hf"])
+
+
+def _strength(children: DataFrame, p0: float) -> float:
+    """The priors' strength, from (n, k, p) with p the parent's rate."""
     n, k, p = F.col("n"), F.col("k"), F.col("p")
-    got = children.where("n > 0").agg(F.sum(n * (k / n - p) ** 2).alias("s"), F.count("*").alias("c"), F.sum("n").alias("t"), F.sum(n * n).alias("q"), F.max("p0").alias("p0"))
-    v = F.col("p0") * (1 - F.col("p0"))
-    below = (F.col("t") - F.col("q") / F.col("t") - (F.col("c") - 1)) * v
-    rho = F.when(below > 0, (F.col("s") - (F.col("c") - 1) * v) / below)
-    rho = F.greatest(F.lit(SPREAD[0]), F.least(F.lit(SPREAD[1]), F.coalesce(rho, F.lit(SPREAD[0]))))
-    return got.select((1 / rho - 1).alias("m"))
+    r = children.where("n > 0").agg(F.sum(n * (k / n - p) ** 2).alias("s"), F.count("*").alias("c"), F.sum("n").alias("t"), F.sum(n * n).alias("q")).first()
+    v = p0 * (1 - p0)
+    below = (r["t"] - r["q"] / r["t"] - (r["c"] - 1)) * v if r["c"] else 0
+    rho = (r["s"] - (r["c"] - 1) * v) / below if below > 0 else SPREAD[0]
+    return 1 / max(SPREAD[0], min(SPREAD[1], rho)) - 1
 
 
 def reputation(outcomes: DataFrame) -> DataFrame:
-    """(host, n, k, bound) for rows (host, bad); bad is 0, 1 or null, and null where the outcome isn't known.
+    """(host, pages, n, k, bound) for rows (host, bad); bad is 0, 1 or null, and null where the outcome isn't known.
 
-    Without any outcome the rate of all counts as 0 and no bound exceeds the limit.
+    Without any outcome the rate of all counts as 0 and no bound exceeds the limit. The rows are read once: the sums of
+    hosts, domains and suffixes are written, and only the priors' strengths come to the driver.
     """
-    hosts = outcomes.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).cast("bigint").alias("k"))
+    hosts = outcomes.groupBy("host").agg(F.count(F.lit(1)).alias("pages"), F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).cast("bigint").alias("k"))
     domain, suffix = _site()
-    hosts = hosts.withColumns({"domain": domain, "suffix": suffix})
-    domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
-    suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
-    # Single rows of sums: what a cross join takes here.
-    every = suffixes.agg(F.coalesce(F.sum("k") / F.expr("nullif(sum(n), 0)"), F.lit(0.0)).alias("p0"))
+    hosts = keep(hosts.withColumns({"domain": domain, "suffix": suffix}), "hosts")
+    domains = keep(hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k")), "domains")
+    suffixes = keep(domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k")), "suffixes")
+    total = suffixes.agg(F.sum("n").alias("n"), F.sum("k").alias("k")).first()
+    p0 = total["k"] / total["n"] if total["n"] else 0.0
 
-    def shrink(children: DataFrame, name: str) -> DataFrame:
-        m = _spread(children)
-        return children.crossJoin(F.broadcast(m)).withColumn(name, (F.col("k") + F.col("m") * F.col("p")) / (F.col("n") + F.col("m")))
+    def shrunk(children: DataFrame, name: str) -> tuple[DataFrame, float]:
+        m = _strength(children, p0)
+        return children.withColumn(name, (F.col("k") + m * F.col("p")) / (F.col("n") + m)), m
 
-    top = shrink(suffixes.crossJoin(F.broadcast(every)).withColumn("p", F.col("p0")), "rate").select("suffix", F.col("rate").alias("p"), "p0")
-    mid = shrink(domains.join(top, "suffix"), "rate").select("domain", F.col("rate").alias("p"), "p0")
-    own = shrink(hosts.drop("suffix").join(mid, "domain"), "rate")
-    deviation = F.sqrt(F.col("rate") * (1 - F.col("rate")) / (F.col("n") + F.col("m") + 1))
-    return own.select("host", "n", "k", (F.col("rate") - DEVIATIONS * deviation).alias("bound"))
+    top, _ = shrunk(suffixes.withColumn("p", F.lit(float(p0))), "rate")
+    mid, _ = shrunk(keep(domains.join(top.select("suffix", F.col("rate").alias("p")), "suffix"), "rates"), "rate")
+    own, m = shrunk(keep(hosts.drop("suffix").join(mid.select("domain", F.col("rate").alias("p")), "domain"), "rates"), "rate")
+    deviation = F.sqrt(F.col("rate") * (1 - F.col("rate")) / (F.col("n") + m + 1))
+    return own.select("host", "pages", "n", "k", (F.col("rate") - DEVIATIONS * deviation).alias("bound"))
 
 
 def judge(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -112,13 +134,15 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str,
 
     `outcomes` has (id, bad), at most one row an id; null ids have none. Repeated pages count as often as they
     occur and give rows of their own; a null url has an empty host, judged like any host; other columns are
-    not read. Host sums are small next to the pages, and Spark decides how to join them.
+    not read. An empty table gives no rows. Hosts of many pages are sent out, the others joined.
     """
     split = with_parts(pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"))).select("page_id", "host", "path")
     known = split.join(outcomes.select(F.col("id").alias("page_id"), "bad"), "page_id", "left").select("host", "bad")
-    joined = split.join(reputation(known), "host")
+    hosts = reputation(known)
+    total = hosts.agg(F.sum("pages")).first()[0] or 0
+    found = ruled(joined(split, hosts, "host", "pages", total), rules)
     method = F.when(F.col("bound") > LIMIT, "block").otherwise("allow")
-    return joined.select("page_id", "host", "path", rule(rules, None).alias("rule"), F.coalesce(rule(rules, 2), method).alias("verdict"), F.col("n").alias("n_labelled"), F.round("bound", 6).alias("bound"))
+    return found.select("page_id", "host", "path", "rule", F.coalesce("said", method).alias("verdict"), F.col("n").alias("n_labelled"), F.round("bound", 6).alias("bound"))
 
 
 def outcomes(labels: DataFrame) -> DataFrame:

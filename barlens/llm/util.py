@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Text bytes that are worked on at once; a single longer text is a slice of its own.
 SLICE_BYTES = 1 << 20
+#: Folder of kept tables below the shared one.
+KEPT = "barlens-kept"
 
 _ODD = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
@@ -96,10 +98,17 @@ def owners(stops: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(stops)), np.diff(stops, prepend=0))
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the cluster shares (spark.checkpoint.dir); a local one only where none is set."""
+def shared_top(spark: SparkSession) -> str:
+    """The folder that the cluster shares (spark.checkpoint.dir). Unset: a local one on a local master, else a RuntimeError."""
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{(top or 'file:///tmp/checkpoints').rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if not top and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+    return (top or "file:///tmp/checkpoints").rstrip("/")
+
+
+def shared_dir(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_top(spark)}/{KEPT}/{name}-{uuid.uuid4().hex}"
 
 
 def keep(df: DataFrame, name: str) -> DataFrame:
@@ -109,6 +118,26 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def remainder(column: str, n: int):
-    """crc32 of the id as text, modulo n; null for a null id."""
-    return F.crc32(F.col(column).cast("string").cast("binary")) % n
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that `df` doesn't have, in any case."""
+    there = {c.lower() for c in df.columns}
+    return next(n for k in range(len(there) + 1) if (n := f"_{name}{k}").lower() not in there)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all kept tables in the shared folder: for the end of a job, when no result is read any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_top(spark)}/{KEPT}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def joined(rows: DataFrame, unique: DataFrame, key: str, count: str, total: int, share: int = 1000) -> DataFrame:
+    """Inner join with one row per key, of which `count` says how many of the `total` rows have it.
+
+    Keys of one row in `share` or more, at most `share` of them, are sent out, so that no task gets all rows of a hot key.
+    """
+    hot = F.col(count) * share >= total
+    sent = unique.where(hot)
+    if sent.isEmpty():
+        return rows.join(unique, key)
+    rest = rows.join(F.broadcast(sent.select(key)), key, "left_anti").join(unique.where(~hot), key)
+    return rows.join(F.broadcast(sent), key).unionByName(rest)
