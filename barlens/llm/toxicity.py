@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barlens.llm.util import mix, owners, slices, word_hashes
+from barlens.llm.util import keep, mix, owners, slices, word_hashes
 
 #: Bits of a feature's number: 4 million coordinates, 16 MB of weights while training.
 BITS = 22
@@ -115,11 +115,14 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
     for y, c in counts.items():
         limit = F.when(F.col("y") == y, F.lit(SAMPLE / c)).otherwise(limit)
     chosen = marked.where(F.col("h") < limit)
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).dropna().join(F.broadcast(chosen), "id").groupBy("id", "y", "h").agg(F.min("text").alias("text"))
-    # Texts of over a 32nd of the bytes come last: one very long text leaves room for the others.
-    own = F.octet_length("text").cast("bigint")
-    size = F.sum(own).over(Window.orderBy(own > SAMPLE_BYTES // 32, "h", "id").rowsBetween(Window.unboundedPreceding, 0))
-    found = rows.withColumn("size", size).where(F.col("size") <= SAMPLE_BYTES).orderBy("h", "id").select("text", "y").collect()
+    # Hinted, here and below: about SAMPLE ids of each class.
+    rows = keep(df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).dropna().join(F.broadcast(chosen), "id").groupBy("id", "y", "h").agg(F.min("text").alias("text")), "sample")
+    # Texts of over a 32nd of the bytes come last: one very long text leaves room for the others. Only lengths meet in one task.
+    own = F.col("bytes") > SAMPLE_BYTES // 32
+    size = F.sum("bytes").over(Window.orderBy(own, "h", "id").rowsBetween(Window.unboundedPreceding, 0))
+    fitting = rows.select("id", "h", F.octet_length("text").cast("bigint").alias("bytes")).withColumn("size", size).where(F.col("size") <= SAMPLE_BYTES).select("id")
+    found = rows.join(F.broadcast(fitting), "id").select("h", "id", "text", "y").collect()
+    found.sort(key=lambda r: (r["h"], r["id"]))
     return train([r["text"] for r in found], [r["y"] for r in found], counts.get(1, 0) / sum(counts.values()))
 
 
