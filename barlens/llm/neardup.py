@@ -1,13 +1,13 @@
 """Near-duplicate classes: consistent weighted sampling over TF-IDF shingles, banded, verified exactly.
 
 A document is its distinct runs of five words, each weighing (1 + ln count) x IDF. Improved consistent weighted
-sampling gives it SAMPLES minima; BANDS of them make buckets. Documents of a bucket are compared with one
+sampling gives it SAMPLES minima; bands of them make buckets. Documents of a bucket are compared with one
 another by exact weighted Jaccard similarity until all that are at or above the threshold are linked, and
 links make classes. Exact copies are one node throughout: the text's 128-bit digest.
 
-IDF falls from 1 for runs that are not frequent to FLOOR for runs in every document. So only frequent runs need
-counts: those in one of RARE documents or more and, where texts are long, in as many as 1 / MOST of all words. No
-text has more runs than words, so that at most MOST runs are frequent however large the corpus is.
+IDF falls from 1 for runs that are not frequent to FLOOR for runs in every document. A run is frequent when so many
+documents have it as make one in MOST of all words, and LEAST at least: no text has more runs than words, so that at
+most MOST runs are frequent however large the corpus is.
 """
 
 from __future__ import annotations
@@ -20,19 +20,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barlens.llm.util import keep, mix, owners, slices, word_hashes
+from barlens.llm.util import joined, keep, mix, owners, slices, unused, word_hashes
 
 WORDS, THRESHOLD = 5, 0.8
-#: At similarity 0.8 two documents share no bucket once in 40,000 times.
-BANDS, ROWS = 20, 4
-SAMPLES = BANDS * ROWS
-#: Share of documents, as one in so many, from which a run counts as frequent; least number; IDF of a run in all.
-RARE, LEAST, FLOOR = 1000, 8, 0.8
-#: Bound of the frequent runs that are sent out (16 bytes each): a run counts as frequent from 1 / MOST of all words on.
-MOST = 2_000_000
+#: Minima of a document, and the most that two documents at the threshold may share no bucket: one in so many.
+SAMPLES, MISSES = 80, 10_000
+#: Least number of documents of a frequent run, and the IDF of a run in all.
+LEAST, FLOOR = 8, 0.8
+#: Bound of the frequent runs, which are sent out (16 bytes each): a run counts as frequent from 1 / MOST of all words on.
+MOST = 1 << 20
 #: Documents of a bucket that are compared in one task, a side.
 CHUNK = 128
-#: A class of one row in so many is large.
+#: A key of one row in so many is hot.
 HOT = 1000
 #: Documents for one task of the first count, and runs that it holds at once.
 COUNT_ROWS, COUNT_RUNS = 8000, 1 << 25
@@ -40,8 +39,13 @@ COUNT_ROWS, COUNT_RUNS = 8000, 1 << 25
 #: Edges that one task joins, and the logarithm of the most bits of the sieve that is sent out (32 MB).
 EDGES, SIEVE = 200_000, 28
 
+#: Rows of random numbers.
 _TABLE = 1 << 16
-_STEPS, _LOWEST, _CLASSES = 8, -4, 40
+
+
+def layout(threshold: float) -> tuple[int, int]:
+    """(bands, minima of a band): as many minima a band as keep two documents at the threshold in a common bucket."""
+    return next((SAMPLES // r, r) for r in range(SAMPLES, 0, -1) if r == 1 or (1 - threshold**r) ** (SAMPLES // r) * MISSES <= 1)
 
 
 def shingles(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -72,10 +76,9 @@ def shingles(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarra
 class Weights:
     """The IDF of frequent runs (sorted hashes and their counts among `documents`, from `least` on); 1 for all others."""
 
-    def __init__(self, documents: int, hashes: np.ndarray, counts: np.ndarray, least: float | None = None):
+    def __init__(self, documents: int, hashes: np.ndarray, counts: np.ndarray, least: float = LEAST):
         order = np.argsort(hashes)
         self.hashes = hashes[order]
-        least = least or max(LEAST, documents / RARE)
         share = np.log(np.maximum(documents, 2) / np.maximum(counts[order], 1)) / max(np.log(np.maximum(documents, 2) / least), 1e-9)
         self.idf = FLOOR + (1 - FLOOR) * np.clip(share, 0, 1)
 
@@ -88,19 +91,19 @@ class Weights:
         return w
 
 
+def _ordered(ln_a: np.ndarray) -> np.ndarray:
+    """Sampling values as the upper half of a number, in the same order."""
+    bits = ln_a.astype(np.float32).view(np.uint32)
+    return np.where(bits >> 31, ~bits, bits | np.uint32(1 << 31)).astype(np.uint64) << np.uint64(32)
+
+
 @lru_cache(maxsize=1)
-def _tables() -> tuple[np.ndarray, np.ndarray]:
-    """For each class of weights the sampling values of all table rows, as the upper half of a number; multipliers."""
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of r, ln c and b; the rows' sampling values for weight 1; multipliers."""
     rng = np.random.Generator(np.random.PCG64(20))
     r, c, b = rng.gamma(2, 1, _TABLE), rng.gamma(2, 1, _TABLE), rng.random(_TABLE)
-    out = np.empty((_CLASSES, _TABLE), np.uint64)
-    for k in range(_CLASSES):
-        t = np.floor((k + _LOWEST) / _STEPS / r + b)
-        ln_a = (np.log(c) - r * (t - b + 1)).astype(np.float32)
-        bits = ln_a.view(np.uint32)
-        ordered = np.where(bits >> 31, ~bits, bits | np.uint32(1 << 31))
-        out[k] = ordered.astype(np.uint64) << np.uint64(32)
-    return out.ravel(), rng.integers(1, 1 << 63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    # ln 1 is 0, and b is under 1: the step is 0.
+    return r, np.log(c), b, _ordered(np.log(c) - r * (1 - b)), rng.integers(1, 1 << 63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def samples(of: np.ndarray, run: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -108,26 +111,33 @@ def samples(of: np.ndarray, run: np.ndarray, weight: np.ndarray) -> tuple[np.nda
 
     A minimum holds the sampling value of its run (which tells the run's table row and its step t) and 32 more
     bits of the run's hash, so that two texts share it where they share run and step. The random numbers of a
-    run come from the table row that its hash times the sample's multiplier gives; weights count in steps of
-    an eighth of a natural logarithm.
+    run come from the table row that its hash times the sample's multiplier gives. Most runs weigh 1: their
+    values are looked up.
     """
-    table, odd = _tables()
-    level = np.clip(np.rint(np.log(weight) * _STEPS).astype(np.int64) - _LOWEST, 0, _CLASSES - 1) * _TABLE
+    r, ln_c, b, plain, odd = _tables()
     starts = np.flatnonzero(np.diff(of, prepend=-1))
     out = np.empty((len(starts), SAMPLES), np.uint64)
     low = np.uint64(0xFFFFFFFF)
+    at = np.flatnonzero(weight != 1)
+    ln_w = np.log(weight[at])
     for k in range(SAMPLES if len(starts) else 0):
         own = run * odd[k]
-        out[:, k] = np.minimum.reduceat(table[level + (own >> np.uint64(48)).astype(np.int64)] | (own & low), starts)
+        row = (own >> np.uint64(48)).astype(np.int64)
+        value = plain[row]
+        if len(at):
+            row = row[at]
+            t = np.floor(ln_w / r[row] + b[row])
+            value[at] = _ordered(ln_c[row] - r[row] * (t - b[row] + 1))
+        out[:, k] = np.minimum.reduceat(value | (own & low), starts)
     return of[starts], out
 
 
-def buckets(minima: np.ndarray) -> np.ndarray:
+def buckets(minima: np.ndarray, bands: int, rows: int) -> np.ndarray:
     """The bucket of each band: one row a text."""
-    out = np.empty((len(minima), BANDS), np.uint64)
-    for b in range(BANDS):
+    out = np.empty((len(minima), bands), np.uint64)
+    for b in range(bands):
         key = np.full(len(minima), b + 1, np.uint64)
-        for k in range(b * ROWS, (b + 1) * ROWS):
+        for k in range(b * rows, (b + 1) * rows):
             key = mix(key * np.uint64(0x9E3779B97F4A7C15) + minima[:, k])
         out[:, b] = key
     return out.view(np.int64)
@@ -135,12 +145,19 @@ def buckets(minima: np.ndarray) -> np.ndarray:
 
 def jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """Weighted Jaccard similarity of two (sorted hashes, weights)."""
-    total = a[1].sum() + b[1].sum()
-    if min(a[1].sum(), b[1].sum()) < THRESHOLD * max(a[1].sum(), b[1].sum()) - 1e-9:
-        return 0.0  # below the threshold whatever they share
-    _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    both = np.minimum(a[1][i], b[1][j]).sum()
-    return float(both / (total - both)) if total else 0.0
+    if len(a[0]) > len(b[0]):
+        a, b = b, a
+    if not len(a[0]):
+        return 0.0
+    at = np.minimum(np.searchsorted(b[0], a[0]), len(b[0]) - 1)
+    both = np.minimum(a[1], b[1][at])[b[0][at] == a[0]].sum()
+    return float(both / (a[1].sum() + b[1].sum() - both))
+
+
+def alike(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], threshold: float) -> bool:
+    """Whether the similarity is at or above the threshold."""
+    small, large = sorted((a[1].sum(), b[1].sum()))
+    return small >= threshold * large - 1e-9 and jaccard(a, b) >= threshold
 
 
 def totals(df: DataFrame) -> tuple[int, int]:
@@ -150,13 +167,13 @@ def totals(df: DataFrame) -> tuple[int, int]:
 
 
 def frequent(df: DataFrame, documents: int, words: int | None = None) -> Weights:
-    """Exact document counts of all frequent runs: in at least max(LEAST, documents / RARE, words / MOST) rows of `df` (text).
+    """Exact document counts of all frequent runs: in at least max(LEAST, words / MOST) rows of `df` (text).
 
     Each task of the first pass passes on what is frequent among its own rows: a run with half the needed count
     or more in all tasks together is a candidate, and no frequent run can be missed. The second pass counts the
     candidates. Candidates are at most 2 x MOST and frequent runs at most MOST, as their counts sum to words at most.
     """
-    need = max(LEAST, documents / RARE, (totals(df)[1] if words is None else words) / MOST)
+    need = max(LEAST, (totals(df)[1] if words is None else words) / MOST)
 
     def rows(runs: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(runs.view(np.int64)), pa.array(counts.astype(np.int64))], ["run", "n"])
@@ -264,7 +281,8 @@ def texts_of(texts: DataFrame, nodes: DataFrame) -> DataFrame:
             yield batch.filter(pa.array((sieve[place >> np.uint32(5)] >> (place & np.uint32(31)) & np.uint32(1)).astype(bool)))
 
     rows = texts.withColumn("node", node()).select("node", "text").mapInArrow(passing, "node binary, text string")
-    return rows.join(nodes.hint("merge"), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+    # One row for each distinct text and task before the shuffle: copies of one text meet in no task.
+    return rows.groupBy("node").agg(F.first("text").alias("text")).join(nodes.hint("merge"), "node", "left_semi")
 
 
 def node(text_col: str = "text"):
@@ -272,9 +290,15 @@ def node(text_col: str = "text"):
     return F.unhex(F.md5(F.col(text_col).cast("string").cast("binary")))
 
 
-def links(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """(node, label) of all distinct texts that are near another one; label: the least node of the class."""
+def links(df: DataFrame, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """(node, label) of all distinct texts that are near another one; label: the least node of the class.
+
+    A bucket's members are compared with its least one first. In the few buckets that then still hold several classes,
+    all outside the largest class are compared with all others, CHUNK by CHUNK, each pair in one bucket only: in a bucket
+    of n texts of which m are outside, m x n comparisons at most, less those that links already decide.
+    """
     spark = df.sparkSession
+    bands, size = layout(threshold)
     texts = df.select(F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL")
     documents, words = totals(texts)
     weights = spark.sparkContext.broadcast(frequent(texts, documents, words))
@@ -284,15 +308,16 @@ def links(df: DataFrame, text_col: str = "text") -> DataFrame:
             for part in slices(batch):
                 of, run, count = shingles(part.column("text").to_pylist())
                 who, minima = samples(of, run, weights.value.of(run, count))
-                flat = pa.array(buckets(minima).ravel())
-                yield pa.RecordBatch.from_arrays([part.column("node").take(pa.array(who)), pa.ListArray.from_arrays(pa.array(np.arange(len(who) + 1, dtype=np.int32) * BANDS), flat)], ["node", "buckets"])
+                flat = pa.array(buckets(minima, bands, size).ravel())
+                yield pa.RecordBatch.from_arrays([part.column("node").take(pa.array(who)), pa.ListArray.from_arrays(pa.array(np.arange(len(who) + 1, dtype=np.int32) * bands), flat)], ["node", "buckets"])
 
     sketched = texts.withColumn("node", node()).select("node", "text").mapInArrow(sketch, "node binary, buckets array<bigint>")
-    banded = keep(sketched.groupBy("node").agg(F.first("buckets").alias("buckets")), "bands").select("node", F.explode("buckets").alias("bucket"))
+    kept = keep(sketched.groupBy("node").agg(F.first("buckets").alias("buckets")), "bands")
+    nodes, banded = kept.count(), kept.select("node", F.explode("buckets").alias("bucket"))
     found = banded.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("leader"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("print")).where("n > 1")
     # Buckets of the same members count once.
     found = keep(found.groupBy("n", "leader", "print").agg(F.min("bucket").alias("bucket")).select("bucket", "n", "leader"), "buckets")
-    members = keep(banded.join(found, "bucket"), "members")
+    members = keep(joined(banded, found, "bucket", "n", nodes, HOT), "members")
     shown = keep(texts_of(texts, keep(members.select("node").distinct(), "near")), "texts")
 
     def compare(batches):
@@ -305,35 +330,37 @@ def links(df: DataFrame, text_col: str = "text") -> DataFrame:
                 for a, x, y in zip(ids, left, sets, strict=True):
                     if a != last:
                         last, own = a, _sets([x], weights.value)[0]
-                    good.append(jaccard(own, y) >= THRESHOLD)
+                    good.append(alike(own, y, threshold))
                 yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        right = shown.select(F.col("node").alias("b"), F.col("text").alias("right"))
-        left = shown.select(F.col("node").alias("a"), F.col("text").alias("left"))
-        full = pairs.join(right.hint("merge"), "b").join(left.hint("merge"), "a").select("a", "b", "left", "right")
-        return full.mapInArrow(compare, "a binary, b binary")
-
-    stars = members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    edges = keep(verified(stars), "links")
+    # A leader's text goes to one part for every CHUNK of its members, so that no task gets all of them.
+    leaders = members.groupBy(F.col("leader").alias("a")).agg(F.ceil(F.max("n") / CHUNK).cast("int").alias("parts"))
+    left = leaders.join(shown.select(F.col("node").alias("a"), F.col("text").alias("left")).hint("merge"), "a")
+    left = left.select("a", "left", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    spread = joined(members.where("node <> leader").select("node", F.col("leader").alias("a"), "n"), leaders.join(members.groupBy(F.col("leader").alias("a")).count(), "a"), "a", "count", nodes, HOT)
+    stars = spread.select("a", F.col("node").alias("b"), F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part")).distinct()
+    full = stars.join(shown.select(F.col("node").alias("b"), F.col("text").alias("right")).hint("merge"), "b").join(left.hint("merge"), ["a", "part"])
+    edges = keep(full.select("a", "b", "left", "right").mapInArrow(compare, "a binary, b binary"), "links")
     labels = components(edges)
-    # What the leaders didn't settle: in buckets of several classes, all that is outside the largest class with all others.
+    # What the leaders didn't settle.
     named = keep(members.where("n > 2").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).select("bucket", "node", "label"), "named")
     sizes = named.groupBy("bucket", "label").agg(F.count("*").alias("c"))
     open_ = sizes.groupBy("bucket").agg(F.max(F.struct("c", "label")).alias("most"), F.sum("c").alias("n"), F.count("*").alias("labels")).where("labels > 1")
     open_ = keep(open_.select("bucket", F.col("most.label").alias("most"), F.col("n"), (F.col("n") - F.col("most.c")).alias("others")), "open")
-    loose = keep(named.join(open_, "bucket"), "loose")
+    loose = keep(joined(named, open_, "bucket", "n", nodes, HOT), "loose")
     if not loose.isEmpty():
         part = lambda n: F.ceil(F.col(n) / CHUNK).cast("int")
         own = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), part(n)).cast("int")
         every = lambda n: F.explode(F.sequence(F.lit(0), part(n) - 1))
         probes = loose.where("label <> most").withColumn("i", own("others", 1)).withColumn("j", every("n")).withColumn("probe", F.lit(True))
         targets = loose.withColumn("j", own("n", 2)).withColumn("i", every("others")).withColumn("probe", F.lit(False))
-        cols = ("bucket", "i", "j", "probe", "node", "label")
+        cols = ("bucket", "i", "j", "probe", "node", "label", "most")
+        shown = shown.join(loose.groupBy("node").agg(F.collect_set("bucket").alias("open")), "node")
         both = probes.select(*cols).unionByName(targets.select(*cols)).join(shown.hint("merge"), "node")
 
         def settle(pdf: pd.DataFrame) -> pd.DataFrame:
             sets = _sets(pdf["text"].tolist(), weights.value)
+            total = np.array([w.sum() for _, w in sets])
             up: dict[bytes, bytes] = {}
 
             def top(x: bytes) -> bytes:
@@ -341,11 +368,17 @@ def links(df: DataFrame, text_col: str = "text") -> DataFrame:
                     x = up[x]
                 return x
 
-            node, label, out = [bytes(x) for x in pdf["node"]], [bytes(x) for x in pdf["label"]], []
-            probe = pdf["probe"].to_numpy(bool)
+            at, out = pdf["bucket"].iat[0], []
+            node, label, own = [bytes(x) for x in pdf["node"]], [bytes(x) for x in pdf["label"]], [{*x.tolist()} for x in pdf["open"]]
+            probe, most = pdf["probe"].to_numpy(bool), bytes(pdf["most"].iat[0])
+            targets = np.flatnonzero(~probe)
             for p in np.flatnonzero(probe):
-                for t in np.flatnonzero(~probe):
-                    if node[p] != node[t] and top(label[p]) != top(label[t]) and jaccard(sets[p], sets[t]) >= THRESHOLD:
+                # At the threshold, neither weighs less than that share of the other.
+                fits = (total[targets] >= threshold * total[p] - 1e-9) & (threshold * total[targets] <= total[p] + 1e-9)
+                for t in targets[fits].tolist():
+                    # Two outside the largest class are each other's probes: once is enough.
+                    once = label[t] == most or node[p] < node[t]
+                    if once and top(label[p]) != top(label[t]) and min(own[p] & own[t]) == at and jaccard(sets[p], sets[t]) >= threshold:
                         up[top(label[p])] = top(label[t])
                         out.append((node[p], node[t]))
             return pd.DataFrame(out, columns=["a", "b"])
@@ -363,41 +396,39 @@ def _sets(texts: list[str | None], weights: Weights) -> list[tuple[np.ndarray, n
     return [(run[lo:hi], w[lo:hi]) for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
 
 
-def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The class of every row: (id, class_id, class_size), one row per row of `df`; class_id is the least id of the class.
 
     Equal texts are one class, empty ones and those without words too; other texts are in a class when links of
-    similarity THRESHOLD or more connect them. A text of fewer than five words is one run. A row with a null text
+    similarity `threshold` or more connect them. A text of fewer than five words is one run. A row with a null text
     is a class of its own. Repeated rows are in the same class; a null id gets its class's least id that is not
     null. Columns other than the two named are not read; an empty table gives no rows.
     """
-    labels = links(df, text_col)
-    rows = df.select(F.col(id_col).alias("doc_id"), node(text_col).alias("own"))
-    # Null texts are dealt by their ids, of 8 bytes: no node is as short.
-    rows = rows.withColumn("node", F.coalesce("own", F.unhex(F.lpad(F.hex(F.xxhash64("doc_id")), 16, "0")))).join(labels, "node", "left")
-    rows = keep(rows.select("doc_id", F.coalesce("label", "own").alias("label")), "rows")
-    sizes = rows.where("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
-    sizes = keep(sizes, "sizes")
-    # At most HOT classes hold one row in HOT: they are sent out, so that no task gets all rows of a large one.
-    hot = F.broadcast(sizes.where(F.col("class_size") * HOT >= rows.count()))
-    cols = ("doc_id", "class_id", "class_size")
-    large = rows.join(hot, "label").select(*cols)
-    others = rows.where("label IS NOT NULL").join(hot.select("label"), "label", "left_anti").join(sizes, "label").select(*cols)
-    alone = rows.where("label IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("bigint").alias("class_size"))
-    return large.unionByName(others).unionByName(alone)
-
-
-def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    labels = links(df, text_col, threshold)
+    rows = keep(df.select(F.col(id_col).alias("doc_id"), node(text_col).alias("node")), "rows")
+    there = rows.where("node IS NOT NULL")
+    # One row for each distinct text: no task gets all copies of one.
+    texts = keep(there.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "nodes")
+    sizes = keep(texts.groupBy("label").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_size"), F.count("*").alias("texts")), "sizes")
+    total = sizes.agg(F.sum("class_size").alias("rows"), F.sum("texts").alias("texts")).first()
+    known = joined(texts.drop("least"), sizes, "label", "texts", total["texts"] or 0, HOT).select("node", "copies", "class_id", "class_size")
+    found = joined(there, keep(known, "classes"), "node", "copies", total["rows"] or 0, HOT).select("doc_id", "class_id", "class_size")
+    alone = rows.where("node IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("bigint").alias("class_size"))
+    return found.unionByName(alone)
+
+
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row of each class, all columns as they were: the one of least id, then of least text digest.
 
     Rows with a null text stay. Of rows that repeat id and text one stays.
     """
-    labels = links(df, text_col)
+    labels = links(df, text_col, threshold)
     # One row for each distinct text before the join: copies of one text meet in no task.
     rows = df.select(F.col(id_col).alias("id"), node(text_col).alias("node")).where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("id"))
     rows = rows.join(labels, "node", "left")
-    first = rows.groupBy(F.coalesce("label", "node").alias("label")).agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node")).alias("w")).select(F.col("w.node").alias("_node"), F.col("w.id").alias("_id"))
+    first = rows.groupBy(F.coalesce("label", "node").alias("label")).agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node")).alias("w")).select(F.col("w.node").alias("kept_node"), F.col("w.id").alias("kept_id"))
     first = keep(first, "first")
-    marked = df.withColumn("_node", node(text_col))
-    hit = marked.join(first, (marked["_node"] == first["_node"]) & marked[id_col].eqNullSafe(first["_id"]), "left_semi")
-    return hit.dropDuplicates(["_node", id_col]).unionByName(marked.where("_node IS NULL")).drop("_node")
+    own = unused(df, "node")
+    marked = df.withColumn(own, node(text_col))
+    hit = marked.join(first, (marked[own] == first["kept_node"]) & marked[id_col].eqNullSafe(first["kept_id"]), "left_semi")
+    return hit.dropDuplicates([own, id_col]).unionByName(marked.where(F.col(own).isNull())).drop(own)
