@@ -84,19 +84,23 @@ def numbered(df: DataFrame, order: list[str], block: Column, total: str | None =
     return df.drop("_b", "_c0", "_s0")
 
 
-def neighbours(df: DataFrame, columns: list[str], ahead: bool = False) -> DataFrame:
-    """Add prev_x (or next_x) of each column x: its value in the row before (or behind) along (ts, id) of the symbol.
+def neighbours(df: DataFrame, before: list[str] = [], behind: list[str] = []) -> DataFrame:  # noqa: B006
+    """Add prev_x for columns `before` and next_x for columns `behind`: their values in the symbol's last and next row along (ts, id).
 
-    A block is an hour of one symbol: no task sorts more. The row that a block lacks at its edge comes from the last
-    (or first) rows of blocks, of which there is one a block.
+    A block is an hour of one symbol: no task sorts more. What a block lacks at its edges comes from the first and last
+    rows of blocks, of which there is one each; they are joined by the same key, so rows are shuffled once.
     """
-    hour = F.date_trunc("hour", "ts")
-    df = df.withColumn("_b", hour)
-    order, values = F.struct("ts", "id"), F.struct(*columns)
-    step, edge = (F.lead, F.min_by) if ahead else (F.lag, F.max_by)
-    edges = df.groupBy("symbol", "_b").agg(edge(values, order).alias("_e"))
-    edges = edges.withColumn("_e", step("_e").over(Window.partitionBy("symbol").orderBy("_b")))
+    df = df.withColumn("_b", F.date_trunc("hour", "ts"))
+    order, old, new = F.struct("ts", "id"), F.struct(*before), F.struct(*behind)
+    blocks = Window.partitionBy("symbol").orderBy("_b")
     own = Window.partitionBy("symbol", "_b").orderBy("ts", "id")
-    name = "next" if ahead else "prev"
-    df = df.join(edges, ["symbol", "_b"]).withColumn("_v", F.coalesce(step(values).over(own), "_e"))
-    return df.withColumns({f"{name}_{c}": F.col(f"_v.{c}") for c in columns}).drop("_b", "_e", "_v")
+    edges, values = [], {}
+    if before:
+        edges.append(F.max_by(old, order).alias("_p"))
+        values |= {f"prev_{c}": F.coalesce(F.lag(old).over(own), "_p")[c] for c in before}
+    if behind:
+        edges.append(F.min_by(new, order).alias("_n"))
+        values |= {f"next_{c}": F.coalesce(F.lead(new).over(own), "_n")[c] for c in behind}
+    ends = df.groupBy("symbol", "_b").agg(*edges)
+    ends = ends.withColumns({c: (F.lag if c == "_p" else F.lead)(c).over(blocks) for c in ends.columns[2:]})
+    return df.join(ends, ["symbol", "_b"]).withColumns(values).drop(*ends.columns[1:])

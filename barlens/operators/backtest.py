@@ -10,6 +10,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from barlens.operators.impact import Impact
 
@@ -98,10 +99,10 @@ class Backtest:
         return one.crossJoin(two).select("total_return", (F.col("m") * F.col("year")).alias("ann_return"), (F.try_divide("m", "s") * F.sqrt("year")).alias("sharpe"), "max_drawdown", *two.columns)
 
     def run(self, panel: DataFrame) -> dict[str, DataFrame]:
-        """equity, trades and stats of a dense panel."""
-        grid = self.grid(panel)
+        """equity, trades and stats of a dense panel. Its grid and the lots' paths are persisted, as several results read them."""
+        grid = self.grid(panel).persist(StorageLevel.MEMORY_AND_DISK)
         lots = self.lots(grid)
-        paths = self.paths(grid, lots)
+        paths = self.paths(grid, lots).persist(StorageLevel.MEMORY_AND_DISK)
         trades = self.trades(paths)
         equity = self.equity(grid, lots, paths, trades)
         return {"equity": equity, "trades": trades.drop("traded", "at"), "stats": self.stats(equity, trades)}

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from barlens.functions.columns import number, ratio, signed_volume
 
@@ -19,14 +20,24 @@ def bar(freq: str, ts: str = "ts") -> Column:
 
 
 def fill_grid(bars: DataFrame, freq: str, zero: tuple[str, ...] = ()) -> DataFrame:
-    """Add the empty bars between each symbol's first and last; `zero` columns are 0 there, others NULL."""
-    ends = bars.groupBy("symbol").agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
-    grid = ends.select("symbol", F.explode(F.sequence("a", "b", F.expr(f"INTERVAL {STEPS[freq]}"))).alias("ts"))
-    return grid.join(bars, ["symbol", "ts"], "left").fillna(0, subset=list(zero)) if zero else grid.join(bars, ["symbol", "ts"], "left")
+    """Add the empty bars between each symbol's first and last; `zero` columns are 0 there, others NULL.
+
+    Each bar fills the gap behind it, so that the bars are read once.
+    """
+    names = [c for c in bars.columns if c not in ("symbol", "ts")]
+    full = bars.withColumnRenamed("ts", "_own").withColumn("_next", F.lead("_own").over(Window.partitionBy("symbol").orderBy("_own")))
+    gap = F.filter(F.sequence("_own", "_next", F.expr(f"INTERVAL {STEPS[freq]}")), lambda t: t < F.col("_next"))
+    full = full.withColumn("ts", F.explode(F.coalesce(gap, F.array("_own"))))
+    values = [F.when(F.col("ts") == F.col("_own"), F.col(c)).alias(c) for c in names]
+    return full.select("symbol", "ts", *values).fillna(0, subset=list(zero)) if zero else full.select("symbol", "ts", *values)
 
 
 def densify(bars: DataFrame) -> DataFrame:
-    """Every symbol at every time that any symbol has: what row windows need. Both lists are distinct keys."""
+    """Every symbol at every time that any symbol has: what row windows need. Both lists are distinct keys.
+
+    The bars are persisted (memory and disk), as they are read three times; `clearCache` of the session's catalog frees them.
+    """
+    bars = bars.persist(StorageLevel.MEMORY_AND_DISK)
     return bars.select("ts").distinct().crossJoin(bars.select("symbol").distinct()).join(bars, ["symbol", "ts"], "left")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from barlens.functions.columns import ratio
 from barlens.functions.windows import along, mean_rank
@@ -39,9 +40,10 @@ def ic_summary(ic: DataFrame) -> DataFrame:
 def ordered_rank(rows: DataFrame, groups: int = 200) -> DataFrame:
     """Add `r`, the place from 1 on of each row along (score, ts, symbol), and `n`, the number of rows.
 
-    Rows are cut into blocks: the scores between two neighbours of `groups` approximate quantiles, and the months of each
-    score that is a quantile. A frequent score is a quantile, so no block holds much more than one row in `groups` but for
-    one score's month. Blocks are counted, their counts summed in order, and each is numbered by itself.
+    Rows are cut into blocks: the scores between two neighbours of `groups` approximate quantiles, and the months (times,
+    where they are no dates) of each score that is a quantile. A frequent score is a quantile, so no block holds much more
+    than one row in `groups`, but for one score's month. Blocks are counted, their counts summed in order, and each is
+    numbered by itself.
     """
     cuts = rows.agg(F.percentile_approx("score", [i / groups for i in range(groups + 1)], 10 * groups).alias("q")).first()["q"]
     if cuts is None:
@@ -49,7 +51,8 @@ def ordered_rank(rows: DataFrame, groups: int = 200) -> DataFrame:
     bounds = F.array(*[F.lit(float(x)) for x in sorted(set(cuts))])
     below = F.size(F.filter(bounds, lambda b: b < F.col("score").cast("double")))
     equal = F.array_contains(bounds, F.col("score").cast("double"))
-    rows = rows.withColumns({"_g": 2 * below + equal.cast("int"), "_m": F.when(equal, F.date_trunc("month", "ts"))})
+    month = F.date_trunc("month", "ts") if dict(rows.dtypes)["ts"].startswith(("date", "timestamp")) else F.col("ts")
+    rows = rows.withColumns({"_g": 2 * below + equal.cast("int"), "_m": F.when(equal, month)})
     counts = rows.groupBy("_g", "_m").agg(F.count(F.lit(1)).alias("_c"))
     w = Window.orderBy("_g", "_m")
     counts = counts.select("_g", F.col("_m").alias("_m2"), F.coalesce(F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.sum("_c").over(Window.partitionBy(F.lit(1))).alias("n"))
@@ -64,7 +67,8 @@ def decile_audit(panel: DataFrame, deciles: int = 10) -> DataFrame:
     Equal scores rank by time, then symbol. Without any pair of score and return: a ValueError. The quantiles are exact,
     from the counts of a decile's distinct returns.
     """
-    ranked = ordered_rank(panel.where("score IS NOT NULL AND fwd IS NOT NULL").select("symbol", "ts", "score", "fwd"))
+    rows = panel.where("score IS NOT NULL AND fwd IS NOT NULL").select("symbol", "ts", "score", "fwd")
+    ranked = ordered_rank(rows.persist(StorageLevel.MEMORY_AND_DISK))  # read three times
     ranked = ranked.withColumn("decile", F.least(F.floor(F.col("r") / (F.col("n") + 1) * deciles), F.lit(deciles - 1)).cast("int"))
     table = ranked.groupBy("decile").agg(F.count(F.lit(1)).alias("count"), F.median("fwd").alias("median"), F.avg("fwd").alias("mean"), F.percentile("fwd", F.lit(0.05)).alias("p5"), F.percentile("fwd", F.lit(0.95)).alias("p95"))
     return table.withColumn("mean_minus_median", F.col("mean") - F.col("median"))

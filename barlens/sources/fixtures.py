@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -29,11 +29,10 @@ def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def item_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Trades with daily times: 25 symbols over seven years; `id` is a total order within symbol and day."""
+    """Trades with daily times: 25 symbols over seven years; `id` is an order within symbol and day."""
     rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
-    w = Window.partitionBy("s_nationkey", "l_shipdate").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     return rows.select(
-        F.col("s_nationkey").alias("symbol"), F.col("l_shipdate").alias("ts"), F.row_number().over(w).alias("id"),
+        F.col("s_nationkey").alias("symbol"), F.col("l_shipdate").alias("ts"), F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("id"),
         (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), F.col("l_quantity").cast("double").alias("quantity"), (F.col("l_linestatus") == "O").alias("is_buyer_maker"),
     )
 
