@@ -3,7 +3,8 @@
 Lengths are at most the capacity, so however many pieces there are, the plan has one count for each length.
 Pieces above a third of the capacity pair at most twice to a sequence: the longest takes the longest partner
 that fits. Shorter ones, longest first, go where they leave the least room. The driver holds the counts and
-the plan (runs of equal sequences); ranks within a length tie each piece to its place.
+the plan (runs of equal sequences); ranks within a length tie each piece to its place. Pieces of the whole capacity
+need no rank: each is a sequence.
 """
 
 from __future__ import annotations
@@ -19,8 +20,8 @@ from pyspark.sql import functions as F
 from barlens.llm import bpe
 from barlens.llm.util import keep, slices
 
-#: Parts into which each length's ranks are split at most, and pieces that one part is meant to hold.
-MAX_PARTS, PART_ROWS = 512, 5_000
+#: A length's pieces are ranked in parts of so many; parts are at most PARTS beside one a length, so they grow beyond that.
+PART_ROWS, PARTS = 250, 1 << 20
 
 
 def plan(counts: dict[int, int], capacity: int) -> dict[str, np.ndarray]:
@@ -131,26 +132,43 @@ def pack(df: DataFrame, path: str, capacity: int = 2048, id_col: str = "doc_id",
     """Pack all texts: (doc_id, piece, start, length, ids_crc32, sequence_id, offset), one row per piece.
 
     A null text is empty: one piece, the closing id 0. Repeated rows and null ids are packed as rows of their
-    own; columns other than the two named are not read; an empty table gives no rows. The driver gets at most
-    capacity x MAX_PARTS counts, and sends out a plan whose size depends on the capacity only.
+    own; columns other than the two named are not read; an empty table gives no rows. Sequences are numbered from 0 on,
+    those of one piece of the whole capacity from -1 down. The driver gets at most PARTS + capacity counts, and sends
+    out those and a plan whose size depends on the capacity only.
     """
     spark = df.sparkSession
-    held = keep(pieces(df, path, capacity, id_col, text_col), "pieces")
-    parts = max(1, min(MAX_PARTS, -(-held.count() // PART_ROWS)))
-    dealt = held.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(parts)).cast("int"))
-    found = dealt.groupBy("length", "part").count().toPandas()
-    table = np.zeros((capacity + 1, parts), np.int64)
-    table[found["length"].to_numpy(np.int64), found["part"].to_numpy(np.int64)] = found["count"].to_numpy(np.int64)
-    runs = plan({n: int(c) for n, c in enumerate(table.sum(axis=1)) if c}, capacity)
-    sent = spark.sparkContext.broadcast((np.cumsum(table, axis=1) - table, runs))
+    # `deal` is written with the pieces, so that every later look deals a piece to the same part, repeated rows too.
+    deal = F.xxhash64("doc_id", "piece", F.monotonically_increasing_id())
+    held = keep(pieces(df, path, capacity, id_col, text_col).withColumn("deal", deal), "pieces")
+    names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    whole = held.where(F.col("length") == capacity).select(*names, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))
+    rest = held.where(F.col("length") < capacity)
+    counts = {r["length"]: r["count"] for r in rest.groupBy("length").count().collect()}
+    size = max(PART_ROWS, -(-sum(counts.values()) // PARTS))
+    parts = {n: -(-c // size) for n, c in counts.items()}
+    # One row for each length: hinted.
+    known = F.broadcast(spark.createDataFrame([*parts.items()], "length bigint, parts bigint"))
+    dealt = rest.join(known, "length").withColumn("part", F.pmod("deal", "parts"))
+    first = np.zeros(capacity + 1, np.int64)
+    first[[*parts]] = np.cumsum([0, *parts.values()])[:-1]
+    own = np.zeros(sum(parts.values()), np.int64)
+    found = dealt.groupBy("length", "part").count().toArrow()
+    n, part, c = (found[x].to_numpy().astype(np.int64) for x in ("length", "part", "count"))
+    own[first[n] + part] = c
+    # Pieces of the same length in the parts before.
+    start = np.cumsum(own) - own
+    before = start - np.repeat(start[first[[*parts]]], [*parts.values()]) if parts else start
+    runs = plan(counts, capacity)
+    sent = spark.sparkContext.broadcast((before, first, runs))
 
     def run(batches):
-        before, runs = sent.value
+        before, first, runs = sent.value
         for b in batches:
             n, part, own = (b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("length", "part", "own"))
-            seq, offset = place(runs, n, before[n, part] + own - 1)
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")), pa.array(seq), pa.array(offset)], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
+            seq, offset = place(runs, n, before[first[n] + part] + own - 1)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(seq), pa.array(offset)], [*names, "sequence_id", "offset"])
 
     ranked = dealt.withColumn("own", F.row_number().over(Window.partitionBy("length", "part").orderBy("doc_id", "piece", "ids_crc32")))
     kind = dict(df.dtypes)[id_col]
-    return ranked.mapInArrow(run, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint")
+    placed = ranked.mapInArrow(run, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint")
+    return placed.unionByName(whole)
