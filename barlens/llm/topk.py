@@ -14,8 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries and candidates that meet in one task at most, and candidates that are bounded at once.
-QUERY_BLOCK, VECTOR_BLOCK, STEP = 4096, 32_768, 1024
+#: Bytes of queries and of candidates, 8 a component, that meet in one task; and candidates that are bounded at once.
+QUERY_BYTES, VECTOR_BYTES, STEP = 2 << 20, 16 << 20, 1024
 #: Segments of the resolutions, coarse to fine.
 SEGMENTS = (4, 16, 32)
 #: Integers up to this size are exact in a double.
@@ -90,23 +90,25 @@ def top_k(df: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id",
     none of their own id's queries; a repeated query is answered once, with its least vector. Fewer candidates than k: all. An
     empty table gives no rows. Products beyond 64 bits wrap.
 
-    All queries meet all candidates in blocks: each block of queries is dealt to every block of candidates and
-    the other way round, each pair of blocks keeps k rows a query, and the last window merges those.
+    All queries meet all candidates in blocks of QUERY_BYTES and VECTOR_BYTES: each block of queries is dealt to every
+    block of candidates and the other way round, each pair of blocks keeps k rows a query, and the last window merges
+    those. Rows are dealt by number, so rows that repeat an id or a vector are spread.
     """
     spark = df.sparkSession
     rows = df.select(F.col(id_col).cast("bigint").alias("id"), whole(vector_col).alias("v"), F.coalesce(is_query, F.lit(False)).alias("q")).where("id IS NOT NULL AND v IS NOT NULL")
-    sizes = rows.agg(F.count("*").alias("n"), F.count(F.when(F.col("q"), 1)).alias("q")).first()
-    x_blocks = max(-(-sizes["n"] // VECTOR_BLOCK), min(2 * spark.sparkContext.defaultParallelism, -(-sizes["n"] // (4 * STEP))), 1)
-    q_blocks = max(1, -(-sizes["q"] // QUERY_BLOCK))
+    width = 8 * F.size("v").cast("bigint")
+    sizes = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(width), F.lit(0)).alias("bytes"), F.coalesce(F.sum(F.when(F.col("q"), width)), F.lit(0)).alias("asked")).first()
+    x_blocks = max(-(-sizes["bytes"] // VECTOR_BYTES), min(2 * spark.sparkContext.defaultParallelism, -(-sizes["n"] // (4 * STEP))), 1)
+    q_blocks = max(1, -(-sizes["asked"] // QUERY_BYTES))
 
-    def number(blocks: int) -> Column:
-        return F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+    def number(blocks: int, *more: Column) -> Column:
+        return F.pmod(F.xxhash64("id", *more), F.lit(blocks)).cast("int")
 
     def every(blocks: int) -> Column:
         return F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
 
     asked = rows.where("q").groupBy("id").agg(F.min("v").alias("v")).select("id", "v", number(q_blocks).alias("qb"), every(x_blocks).alias("xb"))
-    there = rows.select("id", "v", number(x_blocks).alias("xb"), every(q_blocks).alias("qb"))
+    there = rows.withColumn("xb", number(x_blocks, F.monotonically_increasing_id())).select("id", "v", "xb", every(q_blocks).alias("qb"))
 
     def block(queries: pd.DataFrame, vectors: pd.DataFrame) -> pd.DataFrame:
         out = []
