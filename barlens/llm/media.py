@@ -31,6 +31,15 @@ KBPS = {
 RATES = [44100, 48000, 32000]
 VERSIONS = {0: 25, 2: 20, 3: 10}
 
+# Fixed values of the format: bits of a layer II subband's allocation, from the lowest subband on, as (subbands, bits).
+ALLOCATION = {
+    "a": [(11, 4), (12, 3), (4, 2)],
+    "b": [(11, 4), (12, 3), (7, 2)],
+    "c": [(2, 4), (6, 3)],
+    "d": [(2, 4), (10, 3)],
+    "lsf": [(4, 4), (7, 3), (19, 2)],
+}
+
 #: Bytes to which payloads are filled up.
 UNIT = 64
 
@@ -115,13 +124,13 @@ def _size7(raw: bytes) -> int:
 
 
 def _id3v2(data: bytes, at: int, tags: dict[str, str]) -> int:
-    """Read a leading tag's text frames; where the tag ends."""
+    """Read a leading tag's text frames, as far as they are there; where the tag ends."""
     if data[at : at + 3] != b"ID3" or len(data) < at + 10 or max(data[at + 6 : at + 10]) > 127:
         return at
     major, flags = data[at + 3], data[at + 5]
     end = at + 10 + _size7(data[at + 6 : at + 10])
     pos, head = at + 10, 6 if major == 2 else 10
-    if flags & 0x40 and major > 2:
+    if flags & 0x40 and major > 2 and len(data) >= pos + 4:
         pos += _size7(data[pos : pos + 4]) if major == 4 else 4 + int.from_bytes(data[pos : pos + 4], "big")
     while pos + head <= min(end, len(data)) and data[pos]:
         if major == 2:
@@ -170,7 +179,7 @@ def _table(data: bytes, at: int, h: Header, out: Stream) -> bool:
                 out.toc = data[pos : pos + 100]
             return True
     pos = at + 36
-    if data[pos : pos + 4] == b"VBRI":
+    if data[pos : pos + 4] == b"VBRI" and len(data) >= pos + 26:
         out.table = "VBRI"
         out.table_bytes, out.table_frames, n, scale, width = struct.unpack(">IIHHH", data[pos + 10 : pos + 24])
         out.toc = [scale * int.from_bytes(data[pos + 26 + i * width : pos + 26 + (i + 1) * width], "big") for i in range(n)]
@@ -178,14 +187,28 @@ def _table(data: bytes, at: int, h: Header, out: Stream) -> bool:
     return False
 
 
-def _checked_bits(h: Header) -> int | None:
-    """Bits behind the header that the checksum covers; None for layer II, whose length lies in its contents."""
+def _allocation(h: Header) -> list[int]:
+    """Bits of each subband's allocation in a layer II frame."""
+    each = h.kbps // h.channels
+    kind = "lsf" if h.version != 10 else ("d" if h.rate == 32000 else "c") if each <= 48 else "a" if h.rate == 48000 or each <= 80 else "b"
+    return [bits for n, bits in ALLOCATION[kind] for _ in range(n)]
+
+
+def _checked_bits(h: Header, body: bytes) -> int:
+    """Bits behind the header and the checksum, where `body` begins, that the checksum covers."""
     if h.layer == 3:
         return 8 * h.side
+    bound = 4 * (h.extension + 1) if h.mode == 1 else 32
     if h.layer == 1:
-        bound = 4 * (h.extension + 1) if h.mode == 1 else 32
         return 4 * (bound * h.channels + 32 - bound) if h.channels == 2 else 128
-    return None
+    # Layer II: the allocation, and two bits for each channel of a subband that has bits.
+    value, size, at, chosen = int.from_bytes(body[:64], "big"), 8 * len(body[:64]), 0, 0
+    for band, bits in enumerate(_allocation(h)):
+        own = h.channels if band < bound else 1
+        for _ in range(own):
+            at += bits
+            chosen += (h.channels // own) * bool(value >> max(size - at, 0) & ((1 << bits) - 1))
+    return at + 2 * chosen
 
 
 def parse(data: bytes) -> Stream:
@@ -221,11 +244,10 @@ def parse(data: bytes) -> Stream:
             continue
         body = pos + 4
         if h.protected:
-            bits = _checked_bits(h)
-            if bits is not None:
-                out.checked += 1
-                covered = data[pos + 2 : pos + 4] + data[pos + 6 : pos + 6 + (bits + 7) // 8]
-                out.wrong += crc16(covered, 16 + bits) != int.from_bytes(data[pos + 4 : pos + 6], "big")
+            bits = _checked_bits(h, data[pos + 6 : after])
+            out.checked += 1
+            covered = data[pos + 2 : pos + 4] + data[pos + 6 : min(after, pos + 6 + (bits + 7) // 8)]
+            out.wrong += 8 * len(covered) < 16 + bits or crc16(covered, 16 + bits) != int.from_bytes(data[pos + 4 : pos + 6], "big")
             body += 2
         if not out.offsets:
             out.first, out.kbps = h, (h.kbps, h.kbps)
