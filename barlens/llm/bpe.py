@@ -2,7 +2,7 @@
 
 The symbols of many words lie in one flat array. Each round finds, for every word, its pair of lowest
 rank (a binary search of the pair keys in the sorted keys of all merges), merges the places of that pair
-and looks up only the pairs that are new. Words are encoded once and remembered, up to a fixed count.
+and looks up only the pairs that are new. Words are encoded once and remembered, up to a fixed count and size.
 """
 
 from __future__ import annotations
@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame
 
 from barlens.llm.util import slices
 
-#: Distinct words that a worker remembers; beyond twice this the older half goes.
-REMEMBERED = 150_000
+#: Distinct words that a worker remembers, and characters of them; beyond twice either the older half goes.
+REMEMBERED, REMEMBERED_CHARS = 150_000, 4 << 20
 
 # Fixed values of the format: which characters stand for bytes that have none of their own.
 _PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -66,6 +66,7 @@ class BPE:
         self.keys, self.rank, self.made = key[order], order.astype(np.int64), made[order]
         self.young: list[dict] = [{}, {}]  # without and with texts
         self.old: list[dict] = [{}, {}]
+        self.chars = [0, 0]  # of the young words
 
     def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank and place of each pair in one number; pairs that don't merge get _LAST."""
@@ -141,6 +142,7 @@ class BPE:
         """What is remembered of each of these words: its ids as bytes, or with `text` (count, ids as text, tokens as text)."""
         young, old = self.young[text], self.old[text]
         missing = words.difference(young)
+        self.chars[text] += sum(map(len, missing))
         for w in missing.intersection(old):
             young[w] = old[w]
         missing = missing.difference(young)
@@ -151,8 +153,8 @@ class BPE:
             part = plain[lo : lo + 20_000]
             made = self.merge(part)
             young.update(zip(part, [self._entry(x, True) for x in made] if text else made, strict=True))
-        if len(young) > REMEMBERED:
-            self.old[text], self.young[text] = young, {}
+        if len(young) > REMEMBERED or self.chars[text] > REMEMBERED_CHARS:
+            self.old[text], self.young[text], self.chars[text] = young, {}, 0
         return young
 
     def _entry(self, ids: bytes, text: bool) -> bytes | tuple[int, str, str]:

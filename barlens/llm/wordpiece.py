@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame
 
 from barlens.llm.util import slices
 
-#: Distinct words that a worker remembers; beyond this the memory is emptied.
-REMEMBERED = 400_000
+#: Distinct words that a worker remembers, and characters of them; beyond either the memory is emptied.
+REMEMBERED, REMEMBERED_CHARS = 400_000, 16 << 20
 
 _WORDS = regex.compile(r"[^\p{White_Space}\p{P}$+<=>^`|~]+|[\p{P}$+<=>^`|~]")
 _SIMPLE = regex.compile(r"[^\s!-/:-@\[-`{-~]+|[!-/:-@\[-`{-~]")
@@ -62,6 +62,7 @@ class Automaton:
                 if z >= 0:
                     self.fail[v], self.pops[v] = self.move[z, c], n
         self.known: dict[str, int] = {}
+        self.chars = 0
 
     def count(self, word: str) -> int:
         """The number of pieces of a word; -1 where it can't be cut into pieces."""
@@ -85,10 +86,12 @@ class Automaton:
         """(words, tokens, unknown words) of a text; an unknown word is one token."""
         many = words(text) if text else []
         known = self.known
-        if len(known) > REMEMBERED:
+        if len(known) > REMEMBERED or self.chars > REMEMBERED_CHARS:
             known.clear()
+            self.chars = 0
         for w in {*many}.difference(known):
             known[w] = self.count(w)
+            self.chars += len(w)
         each = list(map(known.__getitem__, many))
         unknown = each.count(-1)
         return len(many), sum(each) + 2 * unknown, unknown
