@@ -6,7 +6,7 @@ outcomes of each level (the beta-binomial's variance). A host is blocked where t
 above a limit: few outcomes on a host say little by themselves.
 
 A suffix is the last label, or the last two where SUFFIXES lists them; other public suffixes of several labels
-aren't known. A registered domain has one label more. Ports don't count there, and an IP address is a domain and
+aren't known. A registered domain has one label more. Ports and user parts don't count there, and an IP address is a domain and
 a suffix of its own. The SQL takes the last label and the last two: equal where no such host occurs.
 """
 
@@ -56,7 +56,7 @@ def with_parts(df: DataFrame, url_col: str = "url") -> DataFrame:
 
 def _site() -> tuple[Column, Column]:
     """A host's registered domain and suffix."""
-    bare = F.regexp_extract("host", r"^(\[[^\]]*\]|[^:]*)", 0)
+    bare = F.regexp_extract("host", r"^(?:.*@)?(\[[^\]]*\]|[^:]*)", 1)
     address = bare.startswith("[") | bare.rlike(r"^[0-9]+(\.[0-9]+){3}$")
     two = F.substring_index(bare, ".", -2)
     long = two.isin(*SUFFIXES)
