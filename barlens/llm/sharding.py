@@ -2,12 +2,14 @@
 
 A shard is a prefix of a 60-bit hash. All rows begin in the one shard of no bits; a shard beyond the byte limit
 splits on its next bit, others don't, so that the directory is as deep as its data ask for and no deeper.
-Directory sums come from one aggregate over fine cells; only cells that still have to split are looked at again.
+Directory sums come from one aggregate over fine cells; only cells that still have to split are looked at again. A row
+finds its shard by its cell, in one join a look.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,29 +35,29 @@ def prefix(h: str, bits) -> Column:
     return F.expr(f"shiftright({h}, {BITS} - {bits})")
 
 
-def directory(rows: DataFrame, limit: int) -> DataFrame:
-    """Leaves (depth, prefix, total) for rows (h, bytes, n): prefixes that needn't or can't split though their parents did.
+def directory(rows: DataFrame, limit: int) -> list[tuple[int, DataFrame]]:
+    """The shard of every cell, for rows (h, bytes, n): a list of looks (bits, entries), entries (cell, depth, total).
 
-    A prefix can't split where all its rows have one hash.
+    A cell is a prefix of so many bits that occurs. Its shard is its shortest prefix that needn't split, or can't since
+    all its rows have one hash. Cells that have none are looked at again, with more bits.
     """
     total = rows.agg(F.sum(F.col("bytes") * F.col("n"))).first()[0] or 0
     top, depth = 0, min(BITS, max(0, math.ceil(math.log2(max(total, 1) / limit))) + FINE)
-    leaves, left = None, rows
+    looks, left = [], rows
     while True:
-        cells = left.groupBy(prefix("h", depth).alias("cell")).agg(F.sum(F.col("bytes") * F.col("n")).alias("total"), F.min("h").alias("lo"), F.max("h").alias("hi"))
-        every = cells.select("*", F.explode(F.sequence(F.lit(top), F.lit(depth))).alias("depth"))
-        sums = every.groupBy("depth", F.expr(f"shiftright(cell, {depth} - depth)").alias("prefix")).agg(F.sum("total").alias("total"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-        sums = keep(sums.select("depth", "prefix", "total", ((F.col("total") > limit) & (F.col("lo") < F.col("hi"))).alias("splits")), "directory")
-        parents = sums.where("splits").select((F.col("depth") + 1).alias("depth"), F.col("prefix").alias("parent"))
-        own = sums.where("NOT splits").withColumn("parent", F.shiftright("prefix", 1))
-        found = own.join(parents, ["depth", "parent"], "left_semi")
-        if top == 0:
-            found = found.unionByName(own.where("depth = 0"))
-        leaves = found if leaves is None else leaves.unionByName(found)
-        open_ = sums.where((F.col("depth") == depth) & F.col("splits")).select(F.col("prefix").alias("cell"))
+        cells = keep(left.groupBy(prefix("h", depth).alias("cell")).agg(F.sum(F.col("bytes") * F.col("n")).alias("total"), F.min("h").alias("lo"), F.max("h").alias("hi")), "cells")
+        every = cells.select("*", F.explode(F.sequence(F.lit(top), F.lit(depth))).alias("depth")).withColumn("prefix", F.expr(f"shiftright(cell, {depth} - depth)"))
+        sums = every.groupBy("depth", "prefix").agg(F.sum("total").alias("all"), (F.sum("total") > limit).alias("over"), (F.min("lo") < F.max("hi")).alias("apart"))
+        whole = keep(sums.where("NOT (over AND apart)").select("depth", "prefix", "all"), "whole")
+        # Shorter prefixes all split: no task gets the cells of one.
+        least = whole.agg(F.min("depth")).first()[0] or top
+        found = every.where(F.col("depth") >= least).join(whole.hint("merge"), ["depth", "prefix"]).groupBy("cell").agg(F.min("depth").alias("depth"), F.max("all").alias("total"))
+        found = keep(found, "directory")
+        looks.append((depth, found))
+        open_ = cells.join(found.hint("merge"), "cell", "left_anti").select("cell")
         if depth == BITS or open_.isEmpty():
-            return leaves.select("depth", "prefix", "total")
-        left = left.withColumn("cell", prefix("h", depth)).join(open_, "cell", "left_semi").drop("cell")
+            return looks
+        left = left.withColumn("cell", prefix("h", depth)).join(open_.hint("merge"), "cell", "left_semi").drop("cell")
         top, depth = depth, min(BITS, depth + MORE)
 
 
@@ -70,10 +72,9 @@ def assign(df: DataFrame, limit: int, id_col: str = "doc_id", text_col: str = "t
     size = F.coalesce(F.octet_length(F.col(text_col).cast("string")), F.lit(0)).cast("bigint")
     rows = df.select(F.col(id_col).alias("doc_id"), key_hash(id_col, text_col).alias("h"), size.alias("bytes"))
     rows = keep(rows.groupBy("doc_id", "h", "bytes").agg(F.count("*").alias("n")), "rows")
-    leaves = directory(rows, limit)
-    depths = sorted(r["depth"] for r in leaves.select("depth").distinct().collect())
-    tried = rows.withColumn("depth", F.explode(F.array(*[F.lit(d) for d in depths]).cast("array<int>"))).withColumn("prefix", prefix("h", "depth"))
-    placed = tried.join(leaves, ["depth", "prefix"])
+    # A row's cell is in the entries of one look. Entries grow with the rows: they aren't sent out.
+    looked = [rows.withColumn("cell", prefix("h", bits)).join(entries.hint("merge"), "cell").drop("cell") for bits, entries in directory(rows, limit)]
+    placed = reduce(DataFrame.unionByName, looked).withColumn("prefix", prefix("h", "depth"))
     each = F.greatest(F.lit(1), F.expr(f"CAST({limit} AS BIGINT) div greatest(bytes, 1)"))
     placed = placed.withColumn("each", F.when(F.col("total") > limit, each).otherwise(F.lit(1 << 62)))
     single = placed.where("n = 1").withColumn("copy", F.lit(0).cast("bigint"))
