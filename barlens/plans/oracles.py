@@ -282,5 +282,6 @@ ORACLES: dict[str, str] = {
       SELECT d.date, s.symbol, f.date IS NOT NULL AS listed FROM (SELECT CAST(unnest(generate_series(min(date), max(date), INTERVAL 1 day)) AS DATE) AS date FROM f) d CROSS JOIN (SELECT DISTINCT symbol FROM f) s
       LEFT JOIN f ON f.date = d.date AND f.symbol = s.symbol""",
 }
-# The study's split is the operator's, on the same bars.
+# The study's split is the operator's, on the same bars; the kernels' largest response is that of all 150 lags.
 ORACLES["run_attribution"] = ORACLES["perm_transient"]
+ORACLES["roundtrip_kernels_150"] = _sql(f"{_MV} b0 b bs lg150 rs150", re.sub(r"\brs\b", "rs150", "SELECT symbol, model" + ORACLES["roundtrip_kernels"].rpartition("SELECT symbol, model")[2]))
