@@ -156,12 +156,27 @@ def _tail(data: bytes, tags: dict[str, str]) -> int:
             if value := data[end + lo : end + hi].split(b"\0")[0].decode("latin-1").strip():
                 tags.setdefault(f"v1:{name}", value)
     if data[end - 32 : end - 24] == b"APETAGEX" and end >= 32:
-        size, _, flags = struct.unpack("<III", data[end - 20 : end - 8])
-        end = max(0, end - size - (32 if flags >> 31 else 0))
+        size, count, flags = struct.unpack("<III", data[end - 20 : end - 8])
         tags["ape"] = "1"
+        tags.update(_ape(data[max(0, end - size) : end - 32], count))
+        end = max(0, end - size - (32 if flags >> 31 else 0))
     return end
 
 
+def _ape(items: bytes, count: int) -> dict[str, str]:
+    """The text items of an APE tag, as far as they are there."""
+    out, pos = {}, 0
+    for _ in range(min(count, len(items) // 10)):
+        stop = items.find(b"\0", pos + 8)
+        if stop < 0:
+            break
+        size, flags = struct.unpack("<II", items[pos : pos + 8])
+        if flags & 6 == 0:
+            out[f"ape:{items[pos + 8 : stop].decode('latin-1')}"] = items[stop + 1 : stop + 1 + size].decode("utf-8", "replace")
+        pos = stop + 1 + size
+    return out
+
+
 def _table(data: bytes, at: int, h: Header, out: Stream) -> bool:
     """Whether the frame is an info frame; if so its table is read."""
     if h.layer != 3:

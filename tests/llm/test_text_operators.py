@@ -1,6 +1,7 @@
 """The text operators against libraries, brute force and round trips, and on rows of all awkward kinds."""
 
 import random
+import struct
 import zlib
 from collections import Counter
 from hashlib import sha256
@@ -213,6 +214,12 @@ def test_media_damage():
     assert media.parse(tail).truncated > 0 or media.parse(tail).skipped > 0
     tagged = m + b"TAG" + b"Title".ljust(30, b"\0") + bytes(95)
     assert media.parse(tagged).tags["v1:title"] == "Title" and len(media.parse(tagged).offsets) == len(s.offsets)
+    items = [(0, b"Artist", "Zoë".encode()), (2, b"Cover", b"\xff\xfb"), (0, b"Year", b"1999")]
+    body = b"".join(struct.pack("<II", len(v), flags) + key + b"\0" + v for flags, key, v in items)
+    foot = lambda n: b"APETAGEX" + struct.pack("<IIII", 2000, len(body) + 32, n, 0) + bytes(8)
+    got = media.parse(m + body + foot(3))
+    assert (got.tags["ape:Artist"], got.tags["ape:Year"], "ape:Cover" in got.tags) == ("Zoë", "1999", False) and len(got.offsets) == len(s.offsets) and not got.skipped
+    assert media.parse(m + body + foot(2)).tags.keys() - s.tags.keys() == {"ape", "ape:Artist"}
     for fake in (b"TAG".ljust(128, b"x"), b"APETAGEX".rjust(64, b"y").ljust(88, b"\1")):  # a payload that ends like a tag
         payload = fake.rjust(1344, b"z")
         assert media.load(media.store(payload))[0] == payload
