@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import struct
 import zlib
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from fractions import Fraction
 from functools import lru_cache
 from hashlib import sha256
@@ -40,13 +40,18 @@ ALLOCATION = {
     "lsf": [(4, 4), (7, 3), (19, 2)],
 }
 
+#: Bytes within which the next frame of a free bitrate must begin.
+FREE_BYTES = 8192
 #: Bytes to which payloads are filled up.
 UNIT = 64
 
 
 @dataclass(frozen=True)
 class Header:
-    """One frame's header. `side` bytes of side information follow it and its checksum (layer III)."""
+    """One frame's header. `side` bytes of side information follow it and its checksum (layer III).
+
+    A stream of free bitrate doesn't say its frames' size: there `size` is the padding alone until the stream tells.
+    """
 
     version: int
     layer: int
@@ -59,20 +64,26 @@ class Header:
     size: int
     samples: int
     side: int
+    free: bool
 
     def like(self, other: Header) -> bool:
         """Whether both can be of one stream."""
-        return (self.version, self.layer, self.rate) == (other.version, other.layer, other.rate)
+        return (self.version, self.layer, self.rate, self.free) == (other.version, other.layer, other.rate, other.free)
+
+    def sized(self, size: int) -> Header:
+        """The header of a free frame whose size without padding is known."""
+        size += self.size
+        return replace(self, size=size, kbps=round(8 * size * self.rate / self.samples / 1000))
 
 
 @lru_cache(maxsize=4096)
 def header(raw: bytes) -> Header | None:
-    """Parse four bytes; None where they are no header. Streams of free bitrate are not taken."""
+    """Parse four bytes; None where they are no header."""
     if len(raw) < 4 or raw[0] != 0xFF or raw[1] & 0xE0 != 0xE0:
         return None
     version, layer = VERSIONS.get(raw[1] >> 3 & 3), 4 - (raw[1] >> 1 & 3)
     at, rate = raw[2] >> 4, raw[2] >> 2 & 3
-    if version is None or layer == 4 or at in (0, 15) or rate == 3 or raw[3] & 3 == 2:
+    if version is None or layer == 4 or at == 15 or rate == 3 or raw[3] & 3 == 2:
         return None
     first = version == 10
     hz = RATES[rate] // {10: 1, 20: 2, 25: 4}[version]
@@ -81,7 +92,7 @@ def header(raw: bytes) -> Header | None:
     size = (per * kbps * 1000 // hz + pad) * (4 if layer == 1 else 1)
     samples = {1: 384, 2: 1152, 3: 1152 if first else 576}[layer]
     side = 0 if layer != 3 else (17 if mode == 3 else 32) if first else (9 if mode == 3 else 17)
-    return Header(version, layer, not raw[1] & 1, kbps, hz, 1 if mode == 3 else 2, mode, raw[3] >> 4 & 3, size, samples, side)
+    return Header(version, layer, not raw[1] & 1, kbps, hz, 1 if mode == 3 else 2, mode, raw[3] >> 4 & 3, size, samples, side, at == 0)
 
 
 @lru_cache(maxsize=65536)
@@ -226,17 +237,36 @@ def _checked_bits(h: Header, body: bytes) -> int:
     return at + 2 * chosen
 
 
+def _free_size(data: bytes, pos: int, h: Header) -> int:
+    """The size without padding of a free frame: the distance to the next header of its kind, if one more follows at that distance."""
+    at = pos + 4 + 2 * h.protected + h.side
+    while (at := data.find(b"\xff", at, pos + FREE_BYTES)) >= 0:
+        near = header(data[at : at + 4])
+        if near and near.like(h):
+            size = at - pos - h.size
+            after = at + size + near.size
+            third = header(data[after : after + 4])
+            if third and third.like(h) or after == len(data):
+                return size
+        at += 1
+    return 0
+
+
 def parse(data: bytes) -> Stream:
     """Read a whole stream. Bytes that belong to no frame are skipped up to the next credible header.
 
-    What looks like a trailing tag is one only where no frame covers it.
+    What looks like a trailing tag is one only where no frame covers it. The frames of a free bitrate have the size that
+    the first of them shows.
     """
-    out = Stream()
+    out, free = Stream(), 0
     end, closing = len(data), {}
     tail = _tail(data, closing)
     pos = _id3v2(data, 0, out.tags)
     while pos + 4 <= end:
         h = header(data[pos : pos + 4])
+        if h and h.free:
+            size = free or _free_size(data, pos, h)
+            h = h.sized(size) if size else None
         after = pos + h.size if h else 0
         near = header(data[after : after + 4]) if h and after + 4 <= end else None
         sound = h is not None and (out.first is None or h.like(out.first)) and (near.like(h) if near else after >= end - 3 or after == tail)
@@ -254,6 +284,8 @@ def parse(data: bytes) -> Stream:
         if after > end:
             out.truncated = end - pos
             break
+        if h.free:
+            free = free or size
         if not out.offsets and not out.table and _table(data, pos, h, out):
             out.first, pos = h, after
             continue

@@ -180,6 +180,24 @@ def test_media_checksums_of_layer_two(raw):
     assert media.parse(bytes(damaged)).wrong == 1
 
 
+@pytest.mark.parametrize("raw", ["fffb00c4", "fffd00c0", "ffff0000", "fff300c0"])
+def test_media_of_free_bitrate(raw):
+    rng = random.Random(4)
+    base = 4 * 150
+    for padded in (False, True):
+        frames = []
+        for i in range(7):
+            pad = padded and i % 3 == 1
+            lead = bytearray(bytes.fromhex(raw))
+            lead[2] |= 2 * pad
+            n = base + pad * (4 if media.header(bytes(lead)).layer == 1 else 1)
+            frames.append(bytes(lead) + bytes(rng.randrange(255) for _ in range(n - 4)))
+        s = media.parse(b"junk" + b"".join(frames))
+        assert s.offsets == [4 + sum(map(len, frames[:i])) for i in range(7)] and s.skipped == 4 and s.samples == 7 * media.header(bytes.fromhex(raw)).samples
+        assert s.kbps[0] == round(8 * base * s.first.rate / s.first.samples / 1000) <= s.kbps[1]
+    assert media.parse(frames[0]).offsets == [] and media.parse(frames[0] + bytes(9000)).offsets == []
+
+
 def test_media_parser_takes_any_bytes(spark):
     rng = random.Random(3)
     m = media.store(bytes(range(256)) * 40)
