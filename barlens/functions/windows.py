@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -84,7 +86,7 @@ def numbered(df: DataFrame, order: list[str], block: Column, total: str | None =
     return df.drop("_b", "_c0", "_s0")
 
 
-def neighbours(df: DataFrame, before: list[str] = [], behind: list[str] = []) -> DataFrame:  # noqa: B006
+def neighbours(df: DataFrame, before: Sequence[str] = (), behind: Sequence[str] = ()) -> DataFrame:
     """Add prev_x for columns `before` and next_x for columns `behind`: their values in the symbol's last and next row along (ts, id).
 
     A block is an hour of one symbol: no task sorts more. What a block lacks at its edges comes from the first and last
