@@ -34,7 +34,7 @@ CHUNK = 128
 #: A key of one row in so many is hot.
 HOT = 1000
 #: Documents for one task of the first count, and runs that it holds at once.
-COUNT_ROWS, COUNT_RUNS = 8000, 1 << 25
+COUNT_ROWS, COUNT_RUNS = 8000, 1 << 22
 
 #: Edges that one task joins, and the logarithm of the most bits of the sieve that is sent out (32 MB).
 EDGES, SIEVE = 200_000, 28
