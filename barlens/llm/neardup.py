@@ -12,6 +12,7 @@ most MOST runs are frequent however large the corpus is.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barlens.llm.util import joined, keep, mix, owners, slices, unused, word_hashes
+from barlens.llm.util import joined, keep, mix, owners, slices, small_batches, trim, unused, word_hashes
 
 WORDS, THRESHOLD = 5, 0.8
 #: Minima of a document, and the most that two documents at the threshold may share no bucket: one in so many.
@@ -33,8 +34,8 @@ MOST = 1 << 20
 CHUNK = 128
 #: A key of one row in so many is hot.
 HOT = 1000
-#: Documents for one task of the first count, and runs that it holds at once.
-COUNT_ROWS, COUNT_RUNS = 8000, 1 << 25
+#: Documents for one task of the first count; runs that it counts together, of which it holds twice as many; and the parts in which they are sorted.
+COUNT_ROWS, COUNT_RUNS, COUNT_PARTS = 8000, 1 << 22, 16
 
 #: Edges that one task joins, and the logarithm of the most bits of the sieve that is sent out (32 MB).
 EDGES, SIEVE = 200_000, 28
@@ -166,6 +167,32 @@ def totals(df: DataFrame) -> tuple[int, int]:
     return r["n"], int(r["w"] or 0)
 
 
+def often(held: list[np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]:
+    """The runs that occur more than `least` times in all arrays together, sorted, and their counts; one part of the hashes is sorted at a time."""
+    runs, counts = [], []
+    for k in range(COUNT_PARTS):
+        run, n = np.unique(np.concatenate([x[x // np.uint64((1 << 64) // COUNT_PARTS) == k] for x in held]), return_counts=True)
+        runs.append(run[n > least])
+        counts.append(n[n > least])
+    return np.concatenate(runs), np.concatenate(counts)
+
+
+def counted(parts: Iterable[tuple[np.ndarray, int]], least: float, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """often() over the runs of parts (runs, documents), about `limit` at once, with `least` for each of their documents.
+
+    What was read is counted when as much again is held: the last count is no small one, in which a single document's runs would be often.
+    """
+    held, sizes, docs = [], [], []
+    for run, n in parts:
+        held, sizes, docs = [*held, run], [*sizes, len(run)], [*docs, n]
+        if sum(sizes) > 2 * limit:
+            stop = int(np.searchsorted(np.cumsum(sizes), limit)) + 1
+            yield often(held[:stop], least * sum(docs[:stop]))
+            held, sizes, docs = held[stop:], sizes[stop:], docs[stop:]
+    if held:
+        yield often(held, least * sum(docs))
+
+
 def frequent(df: DataFrame, documents: int, words: int | None = None) -> Weights:
     """Exact document counts of all frequent runs: in at least max(LEAST, words / MOST) rows of `df` (text).
 
@@ -179,22 +206,10 @@ def frequent(df: DataFrame, documents: int, words: int | None = None) -> Weights
         return pa.RecordBatch.from_arrays([pa.array(runs.view(np.int64)), pa.array(counts.astype(np.int64))], ["run", "n"])
 
     def local(batches):
-        held, size, docs = [], 0, 0
-
-        def flush():
-            run, n = np.unique(np.concatenate(held), return_counts=True)
-            often = n > need / 2 * docs / documents
-            return rows(run[often], n[often])
-
-        for batch in batches:
-            for part in slices(batch):
-                run = shingles(part.column("text").to_pylist())[1]
-                held, size, docs = [*held, run], size + len(run), docs + part.num_rows
-                if size > COUNT_RUNS:
-                    yield flush()
-                    held, size, docs = [], 0, 0
-        if held:
-            yield flush()
+        parts = ((shingles(part.column("text").to_pylist())[1], part.num_rows) for batch in batches for part in slices(batch))
+        for found in counted(parts, need / 2 / documents, COUNT_RUNS):
+            yield rows(*found)
+        trim()
 
     def collected(batches_of, source: DataFrame, least: float) -> pa.Table:
         found = source.mapInArrow(batches_of, "run bigint, n bigint").groupBy("run").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
@@ -215,6 +230,7 @@ def frequent(df: DataFrame, documents: int, words: int | None = None) -> Weights
                 at = np.minimum(np.searchsorted(likely, run), len(likely) - 1)
                 count += np.bincount(at[likely[at] == run], minlength=len(likely))
         yield rows(likely[count > 0], count[count > 0])
+        trim()
 
     found = collected(exact, df.coalesce(tasks), need)
     return Weights(documents, found["run"].to_numpy().astype(np.int64).view(np.uint64), found["n"].to_numpy().astype(np.float64), need)
@@ -298,6 +314,7 @@ def links(df: DataFrame, text_col: str = "text", threshold: float = THRESHOLD) -
     of n texts of which m are outside, m x n comparisons at most, less those that links already decide.
     """
     spark = df.sparkSession
+    small_batches(spark)
     bands, size = layout(threshold)
     texts = df.select(F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL")
     documents, words = totals(texts)
@@ -310,6 +327,7 @@ def links(df: DataFrame, text_col: str = "text", threshold: float = THRESHOLD) -
                 who, minima = samples(of, run, weights.value.of(run, count))
                 flat = pa.array(buckets(minima, bands, size).ravel())
                 yield pa.RecordBatch.from_arrays([part.column("node").take(pa.array(who)), pa.ListArray.from_arrays(pa.array(np.arange(len(who) + 1, dtype=np.int32) * bands), flat)], ["node", "buckets"])
+        trim()
 
     sketched = texts.withColumn("node", node()).select("node", "text").mapInArrow(sketch, "node binary, buckets array<bigint>")
     kept = keep(sketched.groupBy("node").agg(F.first("buckets").alias("buckets")), "bands")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -13,9 +14,12 @@ from pyspark.sql import functions as F
 
 #: Text bytes that are worked on at once; a single longer text is a slice of its own.
 SLICE_BYTES = 1 << 19
+#: Bytes of rows that Spark sends to a Python worker at once, where texts travel: its default is 10,000 rows of up to 256 MB in all.
+BATCH_BYTES = 1 << 21
 #: Folder of kept tables below the shared one.
 KEPT = "barlens-kept"
 
+_libc = ctypes.CDLL(None)
 _ODD = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 _WORD = np.zeros(256, bool)
@@ -36,6 +40,21 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES
         yield batch.slice(start)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Set the session to send rows to Python at most about BATCH_BYTES at once; a smaller bound that is set stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    set_to = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name, f"{BATCH_BYTES + 1}b"))
+    if not 0 < set_to <= BATCH_BYTES:
+        spark.conf.set(name, f"{BATCH_BYTES}b")
+
+
+def trim() -> None:
+    """Give freed memory back to the system, so that an idle Python worker doesn't hold what its last task took."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_libc, "malloc_trim"):
+        _libc.malloc_trim(0)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Scramble 64-bit hashes so that every bit depends on all."""
     h = h ^ (h >> np.uint64(32))

@@ -2,12 +2,14 @@
 
 import random
 import struct
+import tracemalloc
 import zlib
 from collections import Counter
 from hashlib import sha256
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -381,6 +383,54 @@ def test_frequent_runs_of_long_texts_are_bounded(spark, docs, monkeypatch):
     assert 0 < len(w.hashes) <= most and ((w.idf >= neardup.FLOOR) & (w.idf <= 1)).all()
 
 
+def test_counting_runs_holds_little_beside_them():
+    rng = np.random.default_rng(3)
+    held = [rng.integers(0, 1 << 64, 20_000, dtype=np.uint64) for _ in range(100)]
+    held += [held[k][: 50 * k] for k in range(9)] * 4
+    run, n = np.unique(np.concatenate(held), return_counts=True)
+    tracemalloc.start()
+    found = neardup.often(held, 3)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.array_equal(found[0], run[n > 3]) and np.array_equal(found[1], n[n > 3]) and len(found[0]) == 1800
+    # Sorting all at once takes about six times as much as they do.
+    assert most < sum(x.nbytes for x in held)
+
+
+def test_last_count_of_a_task_is_no_small_one():
+    rng = np.random.default_rng(4)
+    parts = [(np.unique(rng.integers(0, 40_000, 1000)).astype(np.uint64) << np.uint64(48), 10) for _ in range(41)]
+    total = Counter(np.concatenate([x for x, _ in parts]).tolist())
+    every = Counter()
+    for run, n in neardup.counted(iter(parts), 0, 8000):
+        every.update(dict(zip(run.tolist(), n.tolist(), strict=True)))
+    assert every == total
+    # Of 41 parts some remain behind each full count; the last count takes a share of the documents as large as the others'.
+    assert [len(run) for run, _ in neardup.counted(iter(parts), 1 / 10, 8000)] == [0] * 4
+    assert [len(n) > 5000 for _, n in neardup.counted(iter(parts), 0, 8000)] == [True] * 4
+
+
+def test_rows_go_to_python_in_small_batches(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    df = spark.range(6000).select(F.repeat(F.lit("x"), 4000).alias("text")).coalesce(1)
+
+    def most():
+        return df.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches), "n bigint").agg(F.max("n")).first()[0]
+
+    spark.conf.unset(name)
+    assert most() > 5 * util.BATCH_BYTES
+    try:
+        for _, stage in corpus_pipeline.STAGES:
+            spark.conf.unset(name)
+            stage(spark, queries.table(spark, "/root/testdata/sf0.001", "documents"), "/root/testdata/sf0.001")
+            assert most() < 1.1 * util.BATCH_BYTES
+        spark.conf.set(name, "1m")
+        util.small_batches(spark)
+        assert spark.conf.get(name) == "1m"
+    finally:
+        spark.conf.unset(name)
+
+
 def test_weighted_sampling_estimates_similarity():
     """Over 80 pairs of texts of uneven weights: no bias, and the error of 80 samples a pair."""
     rng = random.Random(9)
